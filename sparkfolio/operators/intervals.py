@@ -13,6 +13,7 @@ import bisect
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .timestamps import TODAY_MONTH, local_month, normalise_dates
@@ -98,7 +99,7 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str) -> DataFra
     return merged.select(F.col("entity").alias(entity), "kind", F.col("start").alias(start), F.col("end").alias(end))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def norm_month(norm: pd.Series, tz: pd.Series) -> pd.Series:
     """Absolute month of a normalised date: a bare year is its January, an instant counts in the record's own zone."""
     return pd.Series([local_month(n, z) for n, z in zip(norm, tz)], dtype="Int64")
