@@ -195,8 +195,8 @@ def train(sample: pd.DataFrame) -> Models:
             if loss < loss_at:
                 best, loss_at = float(t), loss
         models.temperature = best
-        # Half-way between real held-out lines and the same lines with their letters shuffled.
-        models.limit = float(np.quantile(e.min(1), 0.995) + np.quantile(noise, 0.01)) / 2
+        # Two thirds of the way from real held-out lines to the same lines with their letters shuffled.
+        models.limit = float(np.quantile(e.min(1), 0.995) + 2 * np.quantile(noise, 0.01)) / 3
     return models
 
 
