@@ -25,7 +25,7 @@ COMMON_WORDS = (
 )
 #: Bound of the training sample: documents without a language and with one (lowest hash of the id first).
 JUNK_DOCS, OTHER_DOCS = 1500, 4500
-CLASSES = ["junk", "table", "list"]  # the order of the rule list; anything else is prose
+CLASSES = ["table", "list", "junk"]  # the order of the rule list; anything else is prose
 FEATURES = [
     "n_chars", "n_lines", "n_words", "mean_word_len", "letter_ratio", "digit_ratio", "symbol_ratio", "punct_end_share", "common_share",
     "bullet_share", "short_share", "cell_share", "distinct_line_share", "top_line_share", "readable_share", "separators", "words_per_line", "seps_per_word", "cluster_share", "latin_ratio",
