@@ -1 +1,13 @@
+"""Named queries over the test tables, and the DuckDB SQL that must give the same rows."""
 
+from __future__ import annotations
+
+
+def queries():
+    from . import data_problems
+
+    return {**data_problems.QUERIES}
+
+
+def oracle_sql():
+    return {}
