@@ -1 +1,91 @@
+"""Column builders for text: trimming, folding, tokens, n-grams.
 
+All of them are built-in expressions, except composing (NFC), which Spark lacks and which only rows with a
+combining mark or another character that composing changes pay for.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A blank of any kind, for Java's and RE2's regular expressions alike.
+BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_FOLD = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1}
+_FROM, _TO = "".join(_FOLD), "".join(_FOLD.values())
+
+# Words that carry no content when a claim is compared with a quote.
+STOPWORDS = (
+    "a an the and or but of to in on at by for with as is was are were be been this that these those from into over under across it its"
+    " their our your his her they we you i he she them us"
+).split()
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+
+
+def squeeze(c: Column) -> Column:
+    """Trimmed, runs of blanks as one plain blank."""
+    return strip(F.regexp_replace(c, f"{BLANK}+", " "))
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def compose(c: Column) -> Column:
+    """NFC; the Python step runs only where a mark, a Hangul letter or a singleton occurs."""
+    return F.when(c.rlike(r"[\p{M}\x{1100}-\x{11ff}\x{212a}\x{212b}\x{2126}\x{340}-\x{37e}\x{387}\x{1f71}-\x{1fff}\x{2000}-\x{2001}\x{f900}-\x{faff}]"), _nfc(c)).otherwise(c)
+
+
+def fold(c: Column) -> Column:
+    """Lower case, accents off."""
+    return F.lower(F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}", ""))
+
+
+def normalised(c: Column) -> Column:
+    """Composed, lower case, blanks squeezed: the form in which quotes are looked up."""
+    return squeeze(F.lower(compose(c)))
+
+
+def words(c: Column) -> Column:
+    """Words between blanks."""
+    return F.filter(F.split(c, f"{BLANK}+"), lambda w: w != "")
+
+
+def word_count(c: Column) -> Column:
+    return F.size(words(c))
+
+
+def content_tokens(c: Column) -> Column:
+    """Distinct folded letter-and-digit tokens without stop words."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.array(*[F.lit(w) for w in STOPWORDS]))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared over all distinct elements; null when either side is empty (no signal)."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """Distinct n-word shingles; empty for fewer than n words."""
+    return F.when(F.size(tokens) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+
+def occurrences(text: Column, needle: Column) -> Column:
+    """Non-overlapping occurrences of a non-empty literal."""
+    return ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")
+
+
+def first_match(c: Column, cases: list[tuple[str, object]], default=None) -> Column:
+    """CASE chain: the value of the first pattern found in the column."""
+    out = None
+    for pattern, value in cases:
+        out = F.when(c.rlike(pattern), F.lit(value)) if out is None else out.when(c.rlike(pattern), F.lit(value))
+    return out.otherwise(F.lit(default))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 
 def queries():
-    from . import data_problems
+    from . import data_problems, documents_plan, markets_plan
 
-    return {**data_problems.QUERIES}
+    return {**data_problems.QUERIES, **documents_plan.QUERIES, **markets_plan.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    from . import data_problems, documents_plan, markets_plan
+
+    return {**data_problems.SQL, **documents_plan.SQL, **markets_plan.SQL}

@@ -30,3 +30,5 @@ def _p5_found(spark, d):
 
 
 QUERIES = {"p3_found": _p3_found, "p4_found": _p4_found, "p4_unit_segments": _p4_unit_segments, "p5_found": _p5_found}
+
+SQL: dict[str, str] = {}

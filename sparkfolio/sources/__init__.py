@@ -1 +1,78 @@
+"""Readers: document files by suffix, DOCX text, JSON search cassettes."""
 
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_CHARS = 50_000
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(content: bytes) -> str | None:
+    """Paragraphs outside tables, then the table cells, one a line; None for a file that isn't a readable DOCX."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    if body is None:
+        return None
+    text = lambda p: "".join(x.text or "" if x.tag == f"{_W}t" else "\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else "" for x in p.iter())
+    out = [text(p) for p in body.findall(f"{_W}p")]
+    for table in body.iter(f"{_W}tbl"):
+        out += ["\n".join(text(p) for p in cell.findall(f"{_W}p")) for row in table.findall(f"{_W}tr") for cell in row.findall(f"{_W}tc")]
+    return "\n".join(out)
+
+
+def magic_ok(content: Column, suffix: Column) -> Column:
+    """Whether the first bytes fit the suffix: %PDF within the first kilobyte, PK for DOCX, anything else passes."""
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    return F.when(suffix == ".pdf", F.instr(head, "%PDF") > 0).when(suffix == ".docx", F.hex(F.substring(content, 1, 4)) == "504B0304").otherwise(F.lit(True))
+
+
+def read_documents(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(path, suffix, text, problem) of the files under a path; .txt, .md and .docx are read, .pdf needs a text layer made elsewhere."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    raw = raw.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))).withColumn("ok", magic_ok(F.col("content"), F.col("suffix")))
+
+    def run(batches):
+        for pdf in batches:
+            text, problem = [], []
+            for content, suffix, ok in zip(pdf.content, pdf.suffix, pdf.ok):
+                t, why = None, None
+                if not ok:
+                    why = "content doesn't fit the suffix"
+                elif suffix in (".txt", ".md"):
+                    t = content.decode("utf-8", "replace")
+                elif suffix == ".docx":
+                    t = docx_text(content)
+                    why = None if t is not None else "unreadable docx"
+                else:
+                    why = "unsupported suffix"
+                if t is not None:
+                    t = re.sub(r"\r\n?", "\n", t)[:max_chars]
+                text.append(t)
+                problem.append(why)
+            yield pd.DataFrame({"path": pdf.path, "suffix": pdf.suffix, "text": text, "problem": problem})
+
+    return raw.mapInPandas(run, "path string, suffix string, text string, problem string")
+
+
+def read_cassettes(spark: SparkSession, path: str) -> DataFrame:
+    """(query_key, rank, href, body) from JSON files of one object: key -> list of {href, body}."""
+    schema = "map<string, array<struct<href:string, url:string, body:string, snippet:string>>>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
+    rows = doc.select(F.explode("m").alias("query_key", "rs")).select("query_key", F.posexplode("rs").alias("rank", "r"))
+    return rows.select("query_key", "rank", F.coalesce("r.href", "r.url").alias("href"), F.coalesce("r.body", "r.snippet", F.lit("")).alias("body"))
+
+
+def write_reports(df: DataFrame, path: str, key: str, text: str) -> None:
+    """One directory of text per key value."""
+    df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
