@@ -83,7 +83,7 @@ class BoostedTrees:
         if not len(X):
             return np.zeros(0)
         B = self._bin(X)
-        return self.base + sum(self._apply(t, B) for t in self.trees)
+        return np.full(len(X), self.base) + sum(self._apply(t, B) for t in self.trees)
 
     def calibrate(self, X, y):
         """Platt scaling on held-out rows, and the threshold with the best F1 there (the middle of the best range)."""

@@ -331,7 +331,8 @@ class Detector:
         self.labelled = {}
         for kind, r in rows.items():
             if len({y for _, y, _ in r}) < 2:
-                self.models[kind] = None
+                # Evidence of one sort only: no tree can be grown, every span goes the way of the evidence.
+                self.models[kind] = BoostedTrees(trees=0).fit(np.zeros((2, 1)), np.ones(2)) if r and r[0][1] else None
                 continue
             X, y, i = np.array([x for x, _, _ in r]), np.array([y for _, y, _ in r]), np.array([i for _, _, i in r])
             held = i % 4 == 0
