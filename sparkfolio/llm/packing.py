@@ -135,8 +135,27 @@ def _fit(sizes: _Sizes, room: int, used: dict, first: int) -> int | None:
     return None
 
 
+def best_fit(items: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
+    """Best fit decreasing: each item into the fullest container with room for it."""
+    out, room = [], []  # room: sorted (room left, container)
+    for k, s in sorted(items, key=lambda x: (-x[1], x[0])):
+        i = bisect.bisect_left(room, (s, -1))
+        if i < len(room):
+            left, c = room.pop(i)
+        else:
+            left, c = capacity, len(out)
+            out.append([])
+        out[c].append((k, s))
+        bisect.insort(room, (left - s, c))
+    return out
+
+
 def pack(items: list[tuple[int, int]], capacity: int, steps: int = STEPS) -> list[list[tuple[int, int]]]:
-    """Containers as lists of (id, size) for items no larger than the capacity, largest open item first."""
+    """Containers as lists of (id, size) for items no larger than the capacity.
+
+    The largest open item is completed again and again; best fit decreasing over all items stays the
+    incumbent and stands where completion needs more containers.
+    """
     by_size: dict[int, list[int]] = {}
     for k, s in sorted(items, reverse=True):
         by_size.setdefault(s, []).append(k)
@@ -147,7 +166,8 @@ def pack(items: list[tuple[int, int]], capacity: int, steps: int = STEPS) -> lis
         for s in filling:
             sizes.take(s)
         out.append([(by_size[s].pop(), s) for s in filling])
-    return out
+    incumbent = best_fit(items, capacity)
+    return incumbent if len(incumbent) < len(out) else out
 
 
 _SCHEMA = "container_kind string, capacity_tokens int, container string, doc_id long, part int, tokens int"
