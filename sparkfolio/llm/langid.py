@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -129,41 +128,78 @@ class Models:
     def _at(self, n: int, h: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.keys[n], h).clip(max=len(self.keys[n]) - 1)
 
-    def entropy(self, text: str) -> np.ndarray | None:
-        """Nats a character under each language; None for a text without letters."""
-        codes = _codes(text)
-        m = len(codes)
-        if m < 3:
-            return None
-        out = np.zeros((m, len(self.langs)), np.float32)
-        todo = np.arange(1, m)
-        carry = np.zeros((m, len(self.langs)), np.float32)
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """Nats a character of each cleaned text under each language, all texts in one pass; inf for a text without letters."""
+        out = np.full((len(texts), len(self.langs)), np.inf, np.float64)
+        lengths = np.array([len(t) if len(t) >= 3 else 0 for t in texts], np.int64)
+        some = np.flatnonzero(lengths)
+        if not len(some):
+            return out
+        codes = _codes("".join(texts[i] for i in some))
+        starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+        within = np.arange(len(codes)) - np.repeat(starts, lengths[some])
+        score = np.zeros((len(codes), len(self.langs)), np.float32)  # what backing off has cost so far, then the result
+        todo = np.flatnonzero(within > 0)
+        hashes = {0: np.zeros(len(codes) + 1, np.uint64)}
         for n in range(ORDER, 0, -1):
-            pos = todo[todo >= n - 1]
-            short = todo[todo < n - 1]
-            h = _hashes(codes, n)[pos - (n - 1)]
+            # An n-gram lies within one text.
+            fits = within[todo] >= n - 1
+            pos, short = todo[fits], todo[~fits]
+            full = hashes.pop(n, None)
+            h = (_hashes(codes, n) if full is None else full)[pos - (n - 1)]
             at = self._at(n, h)
             hit = self.keys[n][at] == h
-            out[pos[hit]] = carry[pos[hit]] + self.logp[n][at[hit]]
+            score[pos[hit]] += self.logp[n][at[hit]]
             miss = pos[~hit]
             if len(miss):
-                ctx = _hashes(codes, n - 1)[miss - (n - 1)] if n > 1 else np.zeros(len(miss), np.uint64)
+                if n > 1:
+                    hashes[n - 1] = _hashes(codes, n - 1)
+                    ctx = hashes[n - 1][miss - (n - 1)]
+                else:
+                    ctx = np.zeros(len(miss), np.uint64)
                 b = np.searchsorted(self.back_keys[n], ctx).clip(max=len(self.back_keys[n]) - 1)
                 known = self.back_keys[n][b] == ctx
-                carry[miss[known]] += self.back[n][b[known]]
-            todo = np.concatenate([short, miss])
-        out[todo] = carry[todo] + self.unseen
-        return -out[1:].mean(axis=0)
+                score[miss[known]] += self.back[n][b[known]]
+            todo = np.sort(np.concatenate([short, miss]))
+        score[todo] += self.unseen
+        score[within == 0] = 0
+        out[some] = -np.add.reduceat(score.astype(np.float64), starts, axis=0) / (lengths[some] - 1)[:, None]
+        return out
+
+    def entropy(self, text: str) -> np.ndarray | None:
+        e = self.entropies([text])[0]
+        return e if np.isfinite(e).all() else None
+
+    def classify_all(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """(language or None when rejected, confidence, nats a character of the best) of each raw text."""
+        out = []
+        for part in _chunks([clean(t) for t in texts]):
+            e = self.entropies(part)
+            best = e.argmin(1)
+            low = e[np.arange(len(e)), best]
+            with np.errstate(invalid="ignore"):
+                conf = 1 / np.exp(-(e - low[:, None]) * self.temperature).sum(1)
+            out += [(self.langs[k] if x <= self.limit else None, float(c) if np.isfinite(x) else 0.0, float(x)) for k, x, c in zip(best, low, conf)]
+        return out
 
     def classify(self, text: str) -> tuple[str | None, float, float]:
-        """(language or None when rejected, confidence, nats a character of the best)."""
-        e = self.entropy(clean(text))
-        if e is None:
-            return None, 0.0, float("inf")
-        k = int(np.argmin(e))
-        z = np.exp(-(e - e[k]) * self.temperature)
-        conf = float(1 / z.sum())
-        return (self.langs[k] if e[k] <= self.limit else None), conf, float(e[k])
+        return self.classify_all([text])[0]
+
+
+#: Characters scored in one pass, which bounds a worker's memory.
+PASS_CHARS = 400_000
+
+
+def _chunks(texts: list[str]):
+    part, n = [], 0
+    for t in texts:
+        if part and n + len(t) > PASS_CHARS:
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t)
+    if part:
+        yield part
 
 
 def train(sample: pd.DataFrame) -> Models:
@@ -220,7 +256,6 @@ def _load(bc) -> Models:
     return _WORKER["models"]
 
 
-@lru_cache(maxsize=200_000)
 def _counted_line(line: str) -> bool:
     return len(line.split()) >= 6 and line.rstrip().endswith(".")
 
@@ -230,8 +265,8 @@ def blocks_of(text: str) -> list[str]:
     return re.split(r"\n[ \t]*\n", text)
 
 
-def segment_languages(texts: DataFrame, documents: DataFrame, key: str = "cv_id", text: str = "text") -> DataFrame:
-    """(key, block_no, lang, confidence, entropy, counted) for every block of every text.
+def segment_languages(texts: DataFrame, documents: DataFrame, key: str = "cv_id", text: str = "text", counted_only: bool = False) -> DataFrame:
+    """(key, block_no, lang, confidence, entropy, counted) for every block of every text, or for every counted one.
 
     Blocks count from 1 and `counted` says that a block has a line of six or more words ending in a full
     stop.  A null or blank text gives no row; a block without letters or beyond the calibrated entropy has a
@@ -243,14 +278,15 @@ def segment_languages(texts: DataFrame, documents: DataFrame, key: str = "cv_id"
     def run(batches):
         models = _load(bc)
         for pdf in batches:
-            out = []
+            at, todo = [], []
             for k, t in zip(pdf.k, pdf.t):
                 for no, block in enumerate(blocks_of(t), 1):
-                    lines = block.split("\n")
-                    counted = [x for x in lines if _counted_line(x)]
-                    # Prose lines alone decide a counted block: headers, dates and skills have no language of their own.
-                    lang, conf, ent = models.classify("\n".join(counted) if counted else block)
-                    out.append((k, no, lang, conf, ent if np.isfinite(ent) else None, bool(counted)))
+                    counted = [x for x in block.split("\n") if _counted_line(x)]
+                    if counted or not counted_only:
+                        # Prose lines alone decide a counted block: headers, dates and skills have no language of their own.
+                        at.append((k, no, bool(counted)))
+                        todo.append("\n".join(counted) if counted else block)
+            out = [(k, no, lang, conf, ent if np.isfinite(ent) else None, counted) for (k, no, counted), (lang, conf, ent) in zip(at, models.classify_all(todo))]
             yield pd.DataFrame(out, columns=["k", "block_no", "lang", "confidence", "entropy", "counted"])
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -265,12 +301,12 @@ def _label_array(label):
 
 def language_repairs(cvs: DataFrame, fixtures: DataFrame, documents: DataFrame) -> DataFrame:
     """p2: (cv_id, block_no, lang).  Counted blocks of a CV in several languages; (cv_id, 0, lang) where a CV in one language has a missing or wrong label."""
-    blocks = segment_languages(cvs, documents).where("counted and lang is not null")
+    blocks = segment_languages(cvs, documents, counted_only=True).where("lang is not null")
     per_cv = blocks.groupBy("cv_id").agg(F.collect_set("lang").alias("langs"), F.collect_list(F.struct("block_no", "lang")).alias("bs"))
     # One label a CV: redelivered rows are equal, so the least is the label.
     labels = fixtures.where("cv_id is not null").groupBy("cv_id").agg(F.min("source_language").alias("label"))
-    # The labels' spellings are parsed once each, not once a row.
     joined = per_cv.join(labels, "cv_id", "left").withColumn("named", F.when(F.col("label").isNotNull(), _label_array("label")).otherwise(F.array().cast("array<string>")))
-    mixed = joined.where(F.size("langs") >= 2).select("cv_id", F.explode("bs").alias("b")).select("cv_id", "b.block_no", "b.lang")
-    single = joined.where((F.size("langs") == 1) & (F.col("named") != F.col("langs"))).select("cv_id", F.lit(0).alias("block_no"), F.element_at("langs", 1).alias("lang"))
-    return mixed.unionByName(single).select("cv_id", F.col("block_no").cast("int"), "lang").distinct()
+    # One row a case: each counted block of a mixed CV, or one for the CV.  One pass over the scored blocks serves both.
+    whole = F.array(F.struct(F.lit(0).alias("block_no"), F.element_at("langs", 1).alias("lang")))
+    cases = F.when(F.size("langs") >= 2, F.col("bs")).when(F.array_sort("named") != F.array_sort("langs"), whole)
+    return joined.select("cv_id", F.explode(cases).alias("b")).select("cv_id", F.col("b.block_no").cast("int").alias("block_no"), "b.lang").distinct()
