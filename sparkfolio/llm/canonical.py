@@ -183,7 +183,8 @@ def match_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:
 
     rows = detected.where(F.col("cv_id").isNotNull() & (F.regexp_replace("detected_role", r"[\s ]", "") != "")).select("cv_id", F.col("detected_role").alias("spelling")).distinct()
     n = max(int(detected.sparkSession.conf.get("spark.sql.shuffle.partitions")), detected.sparkSession.sparkContext.defaultParallelism)
-    spellings = rows.select("spelling").distinct().repartition(n, "spelling")
+    # Round robin after the distinct: a keyed repartition would fall together with its exchange and be coalesced into one task.
+    spellings = rows.select("spelling").distinct().repartition(n)
     matched = spellings.mapInPandas(run, "spelling string, role_id int, distance int")
     # A spelling may be shared by a third of all rows: its rows are spread over salts, and each match repeated per salt.
     salts = 16
