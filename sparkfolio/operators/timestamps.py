@@ -53,7 +53,8 @@ ZONE_MINUTES = {
 
 TODAY_MONTH = 24316
 DEFAULT_ZONE = "Europe/Prague"
-BLOCK = 256
+#: Positions in a block, and record ids in a page of blocks.
+BLOCK, PAGE = 256, 20_000
 RULE_COST, SWITCH_COST, BACKWARD_COST = 12.0, 1.0, 2.0
 
 _MONTH_OF = {w: i + 1 for i, line in enumerate(MONTH_WORDS) for w in line.split()}
@@ -370,28 +371,38 @@ def normalise_dates(df: DataFrame, record_id="entry_id", source="cv_id", order="
     """(record_id, start_norm, end_norm, format) of each record with a readable date.
 
     Null or unreadable values give no row; a null zone means DEFAULT_ZONE; a null `is_current` counts as
-    false; repeated rows of a record count once; a null order or source is a group of its own.  Other
+    false; repeated rows of a record count once; a null source is a group of its own, a null order comes last.  Other
     columns are ignored.  Records count from the highest order down, as lists begin with the latest.
     """
+    # Blocks follow one another in the order of the record ids' thousands, then of the positions: a source's
+    # records mostly share their thousands, and a source that holds a third of all rows falls into many blocks.
+    pages = F.floor(F.col(record_id).cast("long") / PAGE)
+    places = F.coalesce(F.floor(F.col(order).cast("long") / BLOCK), F.lit(-1))
     rows = df.select(
         F.col(source).cast("string").alias("source"),
-        F.coalesce(F.floor(F.col(order).cast("long") / BLOCK), F.pmod(F.xxhash64(F.col(record_id)), F.lit(1024)) - 4096).alias("block"),
+        pages.alias("page"),
+        places.alias("place"),
         F.col(order).cast("long").alias("ord"),
         F.col(record_id).cast("long").alias("record_id"),
         F.col(raw).cast("string").alias("raw"),
         F.col(tz).cast("string").alias("tz"),
         F.col(is_current).cast("boolean").alias("is_current"),
     ).where("record_id is not null and raw is not null")
-    # Record order: the highest position first becomes the lowest block number.
-    rows = rows.withColumn("block", -F.col("block"))
+    # Record order: the highest page and position first, so they become the lowest block numbers.
+    rows = rows.withColumn("block", -(F.col("page") * (1 << 20) + F.col("place"))).drop("page", "place")
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartition(n, "source", "block").sortWithinPartitions("source", "block", F.col("ord").desc_nulls_last(), F.col("record_id").desc())
-    blocks = rows.mapInPandas(_read_blocks, _BLOCK_SCHEMA)
-    # Most sources fit one block and need no chaining; only those with records beyond it are grouped.
-    long_sources = df.where(F.col(order) >= BLOCK).select(F.col(source).cast("string").alias("long_source")).distinct()
-    summary = blocks.join(long_sources, F.col("source") == F.col("long_source"), "left_semi").select("source", "block", "first_cost", "first_cands", "last_cands")
+
+    def packed(part: DataFrame) -> DataFrame:
+        part = part.repartition(n, "source", "block").sortWithinPartitions("source", "block", F.col("ord").desc_nulls_last(), F.col("record_id").desc())
+        return part.mapInPandas(_read_blocks, _BLOCK_SCHEMA)
+
+    # Most sources fit one block and need no chaining; only those with more blocks are grouped.
+    span = df.where(F.col(record_id).isNotNull()).select(F.col(source).cast("string").alias("long_source"), (pages * (1 << 20) + places).alias("b"))
+    long_sources = span.groupBy("long_source").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("long_source")
+    long_rows = rows.join(long_sources, F.col("source") == F.col("long_source"), "left_semi")
+    summary = packed(long_rows).select("source", "block", "first_cost", "first_cands", "last_cands")
     picks = summary.groupBy("source").applyInPandas(_chain, "source string, block long, first_pick int, last_pick int")
-    return blocks.select("source", "block", "ids", "cands").join(picks, ["source", "block"], "left").mapInPandas(
+    return packed(rows).select("source", "block", "ids", "cands").join(picks, ["source", "block"], "left").mapInPandas(
         _decode_blocks, "record_id long, start_norm string, end_norm string, format string"
     )
 

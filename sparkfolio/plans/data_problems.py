@@ -12,17 +12,17 @@ def _p3_found(spark, d):
     return intervals.employment_periods(table(spark, d, "employer_entries"))
 
 
-def _pay(spark, d):
-    return units.read_pay(*(table(spark, d, t) for t in ("search_results", "market_specs", "market_ref", "fx_rates", "pay_periods")))
+def _pay_tables(spark, d):
+    return [table(spark, d, t) for t in ("search_results", "market_specs", "market_ref", "fx_rates", "pay_periods")]
 
 
 def _p4_found(spark, d):
-    return units.yearly_euros(_pay(spark, d))
+    return units.yearly_euros(*_pay_tables(spark, d))
 
 
 def _p4_unit_segments(spark, d):
     """Level segments of every query text's pay history, as if all units were the market's own."""
-    return units.unit_segments(_pay(spark, d).select("source", "day", (F.col("high") * F.col("rate")).alias("v")))
+    return units.unit_segments(units.read_pay(*_pay_tables(spark, d)).select("source", "day", (F.col("high") * F.col("rate")).alias("v")))
 
 
 def _p5_found(spark, d):
