@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import lowest_hashes
+
 # The commonest words of the six languages.
 COMMON_WORDS = (
     "the of and to in a is that for it was on with as be by are this have from which had has not they their but been who will more"
@@ -24,7 +26,7 @@ COMMON_WORDS = (
     " som sa že na ktorý ktorá ktoré pre pri tým má sme ako bol alebo so zo"
 )
 #: Bound of the training sample: documents without a language and with one (lowest hash of the id first).
-JUNK_DOCS, OTHER_DOCS = 1500, 4500
+JUNK_DOCS, OTHER_DOCS = 1500, 9000
 CLASSES = ["table", "list", "junk"]  # the order of the rule list; anything else is prose
 FEATURES = [
     "n_chars", "n_lines", "n_words", "mean_word_len", "letter_ratio", "digit_ratio", "symbol_ratio", "punct_end_share", "common_share",
@@ -34,48 +36,62 @@ FEATURES = [
 _BULLET = r"^\s*(?:[-•*–—·▪◦○■□☐☑✓✔>+→]|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]|#\d{1,3}:?)\s+\S"
 _CELLS = r"\t|^\s*\||\s\|\s.*|\S {2,}\S|^[+|:\-= ]{5,}$|;\S*;|;[^; ]*$|,\S*,|^[^ ,]+,[^ ,]+$|\",|,\""
 _SEPARATED = r" [|/•·;–—-] |[;,|•·] ?(?=\S)"
-_READABLE = r"(?U)(?<![\w�{}()\[\]<>=:&!`~\\])\p{IsLatin}(?:\p{Ll}{2,}|\p{Lu}{2,}|\p{Ll})(?:['’-]\p{IsLatin}+)*(?=[\s.,;:!?)\"'’|/•·]|\z)"
+_READABLE = r"(?<![\p{L}\p{N}_�{}()\[\]<>=:&!`~\\])\p{IsLatin}(?:\p{Ll}{2,}+|\p{Lu}{2,}+|\p{Ll})(?:['’-]\p{IsLatin}+)*+(?=[\s.,;:!?)\"'’|/•·]|\z)"
 
+_UP_TO_6, _UP_TO_9 = r"^\s*(?:\S+\s+){0,5}\S+\s*$", r"^\s*(?:\S+\s+){0,8}\S+\s*$"
 #: Consonants that hardly follow one another in any of the languages; r and l may stand for a vowel.
-_CLUSTER = r"[bcdfghjkmnpqstvwxz]{5}|^[bcdfghjkmnpqstvwxzrl]{4,}$|[jqvxwz]{3}|[bdfgjkpqvwxz]{4}"
+_CLUSTER = r"[bcdfghjkmnpqstvwxz]{5}|(?<= )[bcdfghjkmnpqstvwxzrl]{4,}(?= )|[jqvxwz]{3}|[bdfgjkpqvwxz]{4}"
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """df with one column per statistic in FEATURES, over the whole text.
 
     A null or blank text has zero lines, words and shares.  Columns of df with the same names are replaced.
+    What several statistics need (lines, lower-case words, lengths) is a column of its own and computed once.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("_lines", F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(F.translate(x, "\t  ", "   ")) != ""))
-    out = out.withColumn("_tokens", F.filter(F.split(t, r"[\s ]+"), lambda x: x != ""))
-    lines, words = F.col("_lines"), F.col("_tokens")
-    share = lambda cond: F.coalesce(F.size(F.filter(lines, cond)) / F.nullif(F.size(lines), F.lit(0)), F.lit(0.0))
-    solid = F.greatest(F.length(F.regexp_replace(t, r"[\s ]+", "")), F.lit(1))
-    left_by = lambda rx: F.length(F.regexp_replace(t, rx, ""))
-    common = [w for w in dict.fromkeys(COMMON_WORDS.split())]
-    low = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"(?U)^\W+|\W+$", "")))
-    word_count = lambda x: F.size(F.split(F.trim(x), r"\s+"))
-    out = out.withColumn("n_chars", F.length(t)).withColumn("n_lines", F.size(lines)).withColumn("n_words", F.size(words))
-    out = out.withColumn("mean_word_len", F.coalesce(solid / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)))
-    out = out.withColumn("letter_ratio", F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / solid)
-    out = out.withColumn("digit_ratio", F.length(F.regexp_replace(t, r"[^\p{Nd}]", "")) / solid)
-    out = out.withColumn("latin_ratio", F.length(F.regexp_replace(t, r"[^\p{IsLatin}]", "")) / solid)
-    out = out.withColumn("symbol_ratio", F.length(F.regexp_replace(t, r"[\p{L}\p{Nd}\s .,;:!?'’\"()-]", "")) / solid)
-    out = out.withColumn("punct_end_share", share(lambda x: x.rlike(r"[.!?:…]['\"”)]?\s*$")))
-    out = out.withColumn("common_share", F.coalesce(F.size(F.filter(low, lambda w: w.isin(common))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)))
-    out = out.withColumn("bullet_share", share(lambda x: x.rlike(_BULLET) & ~x.rlike(r"\S {2,}\S|\t") & (word_count(x) <= 9)))
-    out = out.withColumn("short_share", share(lambda x: (word_count(x) <= 6) & ~x.rlike(r"[.!?]\s*$") & ~x.rlike(r"\t|\S {3,}\S|\s\|\s|^\s*\||;\S+;|,\S+,")))
-    out = out.withColumn("cell_share", share(lambda x: x.rlike(_CELLS) & ~x.rlike(r"(?U)[\p{Ll}\d)]\.(?:\s|$).*\p{Ll}{3,}|(?:\p{Ll}+ ){5,}")))
-    out = out.withColumn("distinct_line_share", F.coalesce(F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0)), F.lit(0.0)))
-    # The first and the middle line stand for a line that comes again and again.
-    again = lambda i: F.coalesce(F.size(F.filter(lines, lambda x: x == F.try_element_at(lines, i))) / F.nullif(F.size(lines), F.lit(0)), F.lit(0.0))
-    out = out.withColumn("top_line_share", F.when(F.size(lines) >= 3, F.greatest(again(F.lit(1)), again((F.size(lines) / 2).cast("int")), again(F.lit(-1)))).otherwise(F.lit(0.0)))
-    out = out.withColumn("readable_share", 1 - (left_by(_READABLE) - (F.length(t) - F.length(F.regexp_replace(t, r"[\s ]+", "")))) / solid)
-    out = out.withColumn("separators", F.size(F.regexp_extract_all(t, F.lit(_SEPARATED), F.lit(0))))
-    out = out.withColumn("words_per_line", F.coalesce(F.size(words) / F.nullif(F.size(lines), F.lit(0)), F.lit(0.0)))
-    out = out.withColumn("seps_per_word", F.coalesce(F.col("separators") / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)))
-    out = out.withColumn("cluster_share", F.coalesce(F.size(F.filter(low, lambda w: w.rlike(_CLUSTER))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)))
-    return out.drop("_lines", "_tokens")
+    blank = r"[\s ]+"
+    out = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    t = F.col("_t")
+    without = lambda rx: F.length(F.regexp_replace(t, rx, ""))
+    out = out.withColumns({
+        "n_chars": F.length(t),
+        "_lines": F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(F.translate(x, "\t  ", "   ")) != ""),
+        "_solid": without(blank),
+        "n_words": F.size(F.filter(F.split(t, blank), lambda x: x != "")),
+        "_plain": F.concat(F.lit(" "), F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}'’]+", " ")), F.lit(" ")),
+        "_letters": F.length(t) - without(r"\p{L}+"),
+        "_latin": F.length(t) - without(r"\p{IsLatin}+"),
+        "_digits": F.length(t) - without(r"\p{Nd}+"),
+        "_marks": F.length(t) - without(r"[.,;:!?'’\"()-]+"),
+        "_readable": F.length(t) - without(_READABLE),
+        "separators": F.regexp_count(t, F.lit(_SEPARATED)),
+    })
+    lines = F.col("_lines")
+    out = out.withColumn("n_lines", F.size(lines))
+    over = lambda x, n: F.when(F.col(n) > 0, x / F.col(n)).otherwise(0.0)
+    share = lambda cond: over(F.size(F.filter(lines, cond)), "n_lines")
+    # The first, the middle and the last line stand for a line that comes again and again.
+    again = lambda i: over(F.size(F.filter(lines, lambda x: x == F.try_element_at(lines, i))), "n_lines")
+    words = list(dict.fromkeys(COMMON_WORDS.split()))
+    out = out.withColumns({
+        "mean_word_len": over(F.col("_solid"), "n_words"),
+        "letter_ratio": over(F.col("_letters"), "_solid"),
+        "digit_ratio": over(F.col("_digits"), "_solid"),
+        "latin_ratio": over(F.col("_latin"), "_solid"),
+        "symbol_ratio": over(F.greatest(F.col("_solid") - F.col("_letters") - F.col("_digits") - F.col("_marks"), F.lit(0)), "_solid"),
+        "readable_share": over(F.col("_readable"), "_solid"),
+        "common_share": over(F.size(F.filter(F.split("_plain", " "), lambda w: w.isin(words))), "n_words"),
+        "cluster_share": over(F.regexp_count("_plain", F.lit(_CLUSTER)), "n_words"),
+        "punct_end_share": share(lambda x: x.rlike(r"[.!?:…]['\"”)]?\s*$")),
+        "bullet_share": share(lambda x: x.rlike(_BULLET) & x.rlike(_UP_TO_9) & ~x.rlike(r"\S {2,}\S|\t")),
+        "short_share": share(lambda x: x.rlike(_UP_TO_6) & ~x.rlike(r"[.!?]\s*$|\t|\S {3,}\S|\s\|\s|^\s*\||;\S+;|,\S+,")),
+        "cell_share": share(lambda x: ~x.rlike(r"(?:\p{Ll}+ ){5}|[\p{Ll}\d)]\.\s.*\p{Ll}{3}") & x.rlike(_CELLS)),
+        "distinct_line_share": over(F.size(F.array_distinct(lines)), "n_lines"),
+        "top_line_share": F.when(F.col("n_lines") >= 3, F.greatest(again(F.lit(1)), again((F.size(lines) / 2).cast("int")), again(F.lit(-1)))).otherwise(F.lit(0.0)),
+        "words_per_line": over(F.col("n_words"), "n_lines"),
+        "seps_per_word": over(F.col("separators"), "n_words"),
+    })
+    return out.drop("_t", "_lines", "_plain", "_solid", "_letters", "_latin", "_digits", "_marks", "_readable")
 
 
 # --- labels of the training sample -------------------------------------------------------------------
@@ -125,24 +141,23 @@ def _covers(rule, X):
     return m
 
 
-def _grow(X, y, max_conditions=5):
-    """Add the condition of best FOIL gain until no negative is covered."""
+def _grow(X, y, w, max_conditions=5):
+    """Add the condition of best FOIL gain until no negative is covered.  w: what a row stands for."""
     rule, m = [], np.ones(len(X), bool)
     while len(rule) < max_conditions:
-        p0, n0 = y[m].sum(), (~y[m]).sum()
+        p0, n0 = w[m & y].sum(), w[m & ~y].sum()
         if n0 == 0 or p0 == 0:
             break
         base, best = np.log2(p0 / (p0 + n0)), (0.0, None)
         for f in range(X.shape[1]):
-            x, t = X[m, f], y[m]
+            x, t, v = X[m, f], y[m], w[m]
             order = np.argsort(x, kind="stable")
-            xs, ts = x[order], t[order]
+            xs = x[order]
             cut = np.flatnonzero(xs[1:] > xs[:-1]) + 1
             if not len(cut):
                 continue
-            pos = np.concatenate([[0], np.cumsum(ts)])
-            below_p, below = pos[cut], cut
-            for op, p, k in (("<", below_p, below), (">=", p0 - below_p, len(xs) - below)):
+            pos, every = np.concatenate([[0], np.cumsum((t * v)[order])]), np.concatenate([[0], np.cumsum(v[order])])
+            for op, p, k in (("<", pos[cut], every[cut]), (">=", p0 - pos[cut], every[-1] - every[cut])):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(p / k) - base), -1.0)
                 j = int(np.argmax(gain))
@@ -155,12 +170,12 @@ def _grow(X, y, max_conditions=5):
     return rule
 
 
-def _prune(rule, X, y):
+def _prune(rule, X, y, w):
     """Drop final conditions while (p - n) / (p + n) on the pruning set doesn't fall."""
 
     def worth(r):
         m = _covers(r, X)
-        p, n = y[m].sum(), (~y[m]).sum()
+        p, n = w[m & y].sum(), w[m & ~y].sum()
         return (p - n) / (p + n) if p + n else -1.0
 
     best = rule
@@ -170,9 +185,10 @@ def _prune(rule, X, y):
     return best
 
 
-def induce(X: np.ndarray, labels: np.ndarray, seed: int = 0, max_rules: int = 12) -> list[tuple[str, list]]:
-    """Ordered rules (class, conditions), classes in the order of CLASSES."""
+def induce(X: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None, seed: int = 0, max_rules: int = 12) -> list[tuple[str, list]]:
+    """Ordered rules (class, conditions), classes in the order of CLASSES; weight: how many documents a sampled one stands for."""
     rng, rules = np.random.default_rng(seed), []
+    weight = np.ones(len(X)) if weight is None else np.asarray(weight, float)
     left = np.ones(len(X), bool)
     for cls in CLASSES:
         for _ in range(max_rules):
@@ -184,9 +200,10 @@ def induce(X: np.ndarray, labels: np.ndarray, seed: int = 0, max_rules: int = 12
             part = np.zeros(len(idx), bool)
             part[np.flatnonzero(y)[::3]] = True
             part[np.flatnonzero(~y)[::3]] = True
-            rule = _prune(_grow(X[idx][~part], y[~part]), X[idx][part], y[part])
+            w = weight[idx]
+            rule = _prune(_grow(X[idx][~part], y[~part], w[~part]), X[idx][part], y[part], w[part])
             m = _covers(rule, X[idx][part])
-            if not rule or m.sum() == 0 or y[part][m].mean() <= 0.5:
+            if not rule or m.sum() == 0 or w[part][m & y[part]].sum() <= 0.8 * w[part][m].sum():
                 break
             rules.append((cls, rule))
             left &= ~_covers(rule, X)
@@ -201,25 +218,38 @@ def to_case(rules: list[tuple[str, list]]) -> str:
 
 def training_sample(documents: DataFrame) -> pd.DataFrame:
     """At most JUNK_DOCS documents without and OTHER_DOCS with a language, with their statistics and label."""
-    h = documents.withColumn("h", F.xxhash64("doc_id"))
-    one = h.where("lang is null").orderBy("h").limit(JUNK_DOCS)
-    two = h.where("lang is not null").orderBy("h").limit(OTHER_DOCS)
-    sample = statistics(one.unionByName(two).select("doc_id", "text", "lang")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    part = F.col("lang").isNull()
+    rows = lowest_hashes(documents, "doc_id", [(part, JUNK_DOCS), (~part, OTHER_DOCS)]).select("doc_id", "text", "lang").toPandas()
+    # The sample goes back as a local table: statistics above a limit would be computed for every document.
+    again = documents.sparkSession.createDataFrame(rows.drop_duplicates("doc_id").astype(object).where(lambda x: x.notna(), None), "doc_id long, text string, lang string")
+    sample = statistics(again).toPandas().sort_values("doc_id").reset_index(drop=True)
     sample["label"] = [label(t, x) for t, x in zip(sample.text, sample.lang)]
+    # Each sampled document stands for its share of all documents with, or all without, a language.
+    every = {bool(r[0]): r[1] for r in documents.groupBy(F.col("lang").isNull()).count().collect()}
+    none = sample.lang.isna()
+    sample["weight"] = np.where(none, every.get(True, 0) / max(1, int(none.sum())), every.get(False, 0) / max(1, int((~none).sum())))
     return sample
 
 
 def learn(documents: DataFrame) -> list[tuple[str, list]]:
     s = training_sample(documents)
-    return induce(s[FEATURES].to_numpy(float), s.label.to_numpy()) if len(s) else []
+    return induce(s[FEATURES].to_numpy(float), s.label.to_numpy(), s.weight.to_numpy()) if len(s) else []
+
+
+def _spread(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return documents.where("doc_id is not null").select("doc_id", "text").repartition(n, "doc_id")
 
 
 def document_classes(documents: DataFrame) -> DataFrame:
     """doc_id, all statistics and text_class of every document; repeated rows of a document count once."""
     case = to_case(learn(documents))
-    return statistics(documents.select("doc_id", "text").dropDuplicates(["doc_id"])).withColumn("text_class", F.expr(case)).drop("text")
+    return statistics(_spread(documents)).drop("text").withColumn("text_class", F.expr(case)).dropDuplicates(["doc_id"])
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
     """p10: (doc_id, text_class) of documents that aren't prose."""
-    return document_classes(documents).where("text_class <> 'prose'").select("doc_id", "text_class")
+    # A plain filter on the class would be pushed below and compute all statistics twice; a generator isn't.
+    classed = F.filter(F.array(F.expr(to_case(learn(documents)))), lambda c: c != "prose")
+    return statistics(_spread(documents)).select("doc_id", F.explode(classed).alias("text_class")).distinct()
