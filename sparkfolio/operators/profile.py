@@ -40,20 +40,21 @@ def needle(words: str) -> str:
     return r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(parts) + r")(?:[^\p{L}\p{N}_]|$)"
 
 
-def labels(text: Column, groups: list[tuple[str, str]]) -> Column:
-    """Labels whose words occur, in the groups' order."""
-    t = F.lower(compose(text))
-    return F.array_compact(F.array(*[F.when(t.rlike(needle(words)), F.lit(label)) for label, words in groups]))
+def labels(low: Column, groups: list[tuple[str, str]]) -> Column:
+    """Labels whose words occur in a composed lower-case text, in the groups' order."""
+    return F.array_compact(F.array(*[F.when(low.rlike(needle(words)), F.lit(label)) for label, words in groups]))
 
 
 def salvage(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, quote, found): the first anchorable line with a skill, and the first other line with a soft signal."""
-    ls = anchorable(df, key, text).withColumn("skills", labels(F.col("quote"), SKILLS)).withColumn("soft", labels(F.col("quote"), SOFT_SIGNALS))
-    pick = lambda col: F.min_by(F.struct("pos", "quote", F.array_join(F.slice(F.col(col), 1, 4), ", ").alias("found")), "pos")
-    skill = ls.where(F.size("skills") > 0).groupBy(key).agg(pick("skills").alias("p"))
-    rest = ls.where(F.size("soft") > 0).join(skill.select(key, F.col("p.quote").alias("used")), key, "left").where(F.col("used").isNull() | (F.col("quote") != F.col("used")))
-    soft = rest.groupBy(key).agg(pick("soft").alias("p"))
-    return skill.withColumn("kind", F.lit("skills")).unionByName(soft.withColumn("kind", F.lit("soft_signals"))).select(key, "kind", F.col("p.pos").alias("pos"), F.col("p.quote").alias("quote"), F.col("p.found").alias("found"))
+    """(key, kind, pos, quote, found): the first anchorable line with a skill, and the first with a soft signal whose quote isn't used."""
+    ls = anchorable(df, key, text).withColumn("low", F.lower(compose(F.col("quote"))))
+    ls = ls.select(key, "pos", "quote", labels(F.col("low"), SKILLS).alias("skills"), labels(F.col("low"), SOFT_SIGNALS).alias("soft"))
+    hit = lambda col: F.when(F.size(col) > 0, F.struct("pos", "quote", F.array_join(F.slice(F.col(col), 1, 4), ", ").alias("found")))
+    # One pass: a document's lines meet once, and the second choice comes from the lines with soft signals, in order.
+    per = ls.groupBy(key).agg(F.min(hit("skills")).alias("skill"), F.array_sort(F.collect_list(hit("soft"))).alias("softs"))
+    unused = F.filter("softs", lambda x: F.col("skill").isNull() | (x["quote"] != F.col("skill.quote")))
+    both = F.array(F.struct(F.lit("skills").alias("kind"), F.col("skill").alias("p")), F.struct(F.lit("soft_signals").alias("kind"), F.try_element_at(unused, F.lit(1)).alias("p")))
+    return per.select(key, F.explode(both).alias("c")).where("c.p is not null").select(key, "c.kind", "c.p.pos", "c.p.quote", "c.p.found")
 
 
 def evidence_score(claims: DataFrame) -> DataFrame:

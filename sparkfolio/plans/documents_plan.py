@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import STOPWORDS, content_tokens, fold, jaccard, normalised
+from ..functions import STOPWORDS, compose, content_tokens, fold, jaccard, normalised
 from ..operators import actions, profile, redaction, sections, tenure, verify
 from ..session import table
 from .sql import BLANK, FAMILIES, compose_sql, family_sql, fold_sql, header_sql, lines_sql, squeeze_sql, strip_sql, tokens_sql, words_sql
@@ -115,8 +115,9 @@ def _first_verified(spark, d):
 
 
 def _skill_labels(spark, d):
-    t = F.col("text")
-    return table(spark, d, "redacted_cv").select("cv_id", F.array_join(profile.labels(t, profile.SKILLS), ",").alias("skills"), F.array_join(profile.labels(t, profile.SOFT_SIGNALS), ",").alias("soft_signals"))
+    low = table(spark, d, "redacted_cv").select("cv_id", F.lower(compose(F.col("text"))).alias("t"))
+    join = lambda groups: F.array_join(profile.labels(F.col("t"), groups), ",")
+    return low.select("cv_id", join(profile.SKILLS).alias("skills"), join(profile.SOFT_SIGNALS).alias("soft_signals"))
 
 
 def _salvage(spark, d):
@@ -177,6 +178,8 @@ _SECTIONED = f"""
 l AS ({_LINES}), h AS (SELECT *, ({header_sql('line')} OR regexp_matches(line, '^#{{1,6}} +[^\\s]')) AS header FROM l),
 s AS (SELECT *, last_value(CASE WHEN header THEN {family_sql('line')} END IGNORE NULLS) OVER (PARTITION BY cv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM h)"""
 _SLICES = f"{_SECTIONED}, sl AS (SELECT cv_id, section, string_agg(line, chr(10) ORDER BY pos) AS body FROM s WHERE NOT header AND section IS NOT NULL GROUP BY ALL)"
+_BARE = strip_sql("regexp_replace(" + strip_sql("regexp_replace(" + strip_sql("line") + f", '{sections.BULLET}', '')") + r", '\.$', '')")
+_ANCHORABLE = f"{_SECTIONED}, q AS (SELECT cv_id, pos, section, {_BARE} AS quote FROM s WHERE NOT header), an AS (SELECT * FROM q WHERE {words_sql('quote')} >= 6)"
 _NORM = lambda c: squeeze_sql(f"lower({compose_sql(c)})")
 _FOUND = lambda q, t: f"""coalesce(CASE WHEN {words_sql(q)} >= 8 THEN (length({t}) - length(replace({t}, {q}, ''))) // length({q}) >= 1 WHEN {words_sql(q)} >= 6 THEN (length({t}) - length(replace({t}, {q}, ''))) // length({q}) = 1 ELSE false END, false)"""
 _CLAIMS = "SELECT DISTINCT candidate_id, cv_id, attempt, field, ord, text, anchor_quote, anchor_section FROM candidates"
@@ -202,7 +205,11 @@ _RANK = lambda b: f"coalesce(list_position(['junior','mid','senior','staff','hea
 
 
 def _labels(groups):
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{profile.needle(w)}') THEN '{k}' END" for k, w in groups) + "], lambda x: x IS NOT NULL), ',')"
+    return f"array_to_string({_label_list(groups)}, ',')"
+
+
+def _label_list(groups):
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{profile.needle(w)}') THEN '{k}' END" for k, w in groups) + "], lambda x: x IS NOT NULL)"
 
 
 _PUNCT = "[!-/:-@\\[-`{-~]"
@@ -235,8 +242,11 @@ SQL = {
 SELECT cv_id, string_agg(CASE WHEN header AND (above IS NULL OR above <> mark) THEN mark || chr(10) || line ELSE line END, chr(10) ORDER BY pos) AS annotated FROM h GROUP BY cv_id""",
     "section_sizes": f"WITH {_SECTIONED} SELECT cv_id, coalesce(section, '') AS section, count(*) AS n_lines, CAST(sum({words_sql('line')}) AS BIGINT) AS n_words FROM s WHERE NOT header AND {strip_sql('line')} <> '' GROUP BY ALL",
     "section_slices": f"WITH {_SLICES} SELECT cv_id, section, body FROM sl",
-    "anchorable_lines": f"""WITH {_SECTIONED}, q AS (SELECT cv_id, pos, section, {strip_sql("regexp_replace(" + strip_sql("regexp_replace(" + strip_sql('line') + f", '{sections.BULLET}', '')") + r", '\.$', '')")} AS quote FROM s WHERE NOT header)
-SELECT cv_id, pos, quote, section FROM q WHERE {words_sql('quote')} >= 6""",
+    "anchorable_lines": f"WITH {_ANCHORABLE} SELECT cv_id, pos, quote, section FROM an",
+    "salvage_quotes": f"""WITH {_ANCHORABLE}, t AS (SELECT cv_id, pos, quote, lower({compose_sql('quote')}) AS t FROM an), lb AS (SELECT cv_id, pos, quote, {_label_list(profile.SKILLS)} AS sk, {_label_list(profile.SOFT_SIGNALS)} AS so FROM t),
+a AS (SELECT cv_id, 'skills' AS kind, pos, quote, array_to_string(sk[1:4], ', ') AS found FROM lb WHERE len(sk) > 0 QUALIFY row_number() OVER (PARTITION BY cv_id ORDER BY pos) = 1),
+b AS (SELECT lb.cv_id, 'soft_signals' AS kind, lb.pos, lb.quote, array_to_string(so[1:4], ', ') AS found FROM lb LEFT JOIN a USING (cv_id) WHERE len(so) > 0 AND (a.quote IS NULL OR a.quote <> lb.quote) QUALIFY row_number() OVER (PARTITION BY lb.cv_id ORDER BY lb.pos) = 1)
+SELECT * FROM a UNION ALL SELECT * FROM b""",
     "section_order": f"""WITH t AS (SELECT cv_id, {squeeze_sql('lower(text)')} AS t FROM redacted_cv),
 p AS (SELECT cv_id, list_filter([{','.join(f"instr(t, '{x}')" for x in sections.BODY)}], lambda x: x > 0) AS b, list_filter([{','.join(f"instr(t, '{x}')" for x in sections.SIDEBAR)}], lambda x: x > 0) AS s, list_filter([instr(t, 'kontakt'), instr(t, 'contact')], lambda x: x > 0) AS c FROM t)
 SELECT cv_id, NOT coalesce((list_min(c) > list_min(b)) OR (len(s) >= 3 AND list_min(s) < list_min(b) AND list_max(s) > list_min(b)), false) AS order_ok FROM p""",
