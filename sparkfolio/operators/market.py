@@ -66,7 +66,8 @@ def top_sources(results: DataFrame, k: int = TOP) -> DataFrame:
     k is the feature: the report keeps k sources.
     """
     r = results.where("cv_id is not null").select("cv_id", "query_ord", "rank_no", "result_id", "href").distinct().withColumn("domain", domain(F.col("href"))).where("domain is not null")
-    once = r.withColumn("rn", F.row_number().over(Window.partitionBy("cv_id", "href").orderBy("query_ord", "rank_no", "result_id"))).where("rn = 1")
+    first = F.min(F.struct("query_ord", "rank_no", "result_id"))
+    once = r.groupBy("cv_id", "href", "domain").agg(first.alias("m")).select("cv_id", "href", "domain", "m.*")
     prefer = F.lit(len(DOMAIN_PRIORITY))
     for i, d in reversed(list(enumerate(DOMAIN_PRIORITY))):
         prefer = F.when(F.instr(F.col("domain"), d) > 0, F.lit(i)).otherwise(prefer)
@@ -80,5 +81,6 @@ def tld_histogram(results: DataFrame) -> DataFrame:
 
 def latest_per_query(results: DataFrame) -> DataFrame:
     """Search cache as a table: per stripped query and rank the row fetched last (ties: the highest id)."""
-    w = Window.partitionBy("q", "rank_no").orderBy(F.col("fetched_at").desc(), F.col("result_id").desc())
-    return results.withColumn("q", F.trim("query_text")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("q", "rank_no", "result_id")
+    # A maximum instead of a window: partial results shrink a hot query before the shuffle.
+    last = F.max(F.struct("fetched_at", "result_id"))
+    return results.groupBy(F.trim("query_text").alias("q"), "rank_no").agg(last.alias("m")).select("q", "rank_no", "m.result_id")
