@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookalikes import LOOKALIKES
+from .sampling import lowest_hashes
 
 LANGS = ["cs", "de", "en", "es", "fr", "sk"]
 ORDER = 5
@@ -238,13 +239,9 @@ def train(sample: pd.DataFrame) -> Models:
 
 def training_sample(documents: DataFrame) -> pd.DataFrame:
     """At most DOCS_PER_LANG labelled documents a language, each cut to CHARS_PER_DOC for training only."""
-    df = documents.where(F.col("lang").isin(LANGS) & (F.length(F.trim("text")) >= 100)).select("lang", F.substring("text", 1, CHARS_PER_DOC).alias("text"), F.xxhash64("doc_id").alias("h"))
-    # A bounded top-n per language without sorting the corpus: partial top-n by the hash in each partition.
-    picked = [df.where(F.col("lang") == k).orderBy("h").limit(DOCS_PER_LANG) for k in LANGS]
-    out = picked[0]
-    for p in picked[1:]:
-        out = out.unionByName(p)
-    return out.toPandas().sort_values(["lang", "h"]).reset_index(drop=True)
+    rows = lowest_hashes(documents, "doc_id", [(F.col("lang") == k, DOCS_PER_LANG) for k in LANGS])
+    rows = rows.where(F.length(F.trim("text")) >= 100).select("lang", F.substring("text", 1, CHARS_PER_DOC).alias("text"), F.xxhash64("doc_id").alias("h"))
+    return rows.toPandas().sort_values(["lang", "h"]).reset_index(drop=True)
 
 
 _WORKER: dict = {}
