@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
 from .lookalikes import targets_of
+from .sampling import lowest_hashes
 
 KINDS = ["email", "phone", "name", "address", "identity"]
 TEXT_FIELD, LOG_FIELD = "redacted_cv.text", "redaction.original"
@@ -386,8 +387,8 @@ def _trim(text: str, s: int, e: int) -> int:
 
 def training_sample(cvs: DataFrame, log: DataFrame) -> tuple[list[str], list[tuple[str, str]]]:
     """Bounded sample for the fit only; the detector then runs over every whole text."""
-    t = cvs.where("text is not null").select("text", F.xxhash64("cv_id").alias("h")).orderBy("h").limit(SAMPLE_TEXTS).toPandas()
-    r = log.where("original is not null").select("redaction_id", "original", "replacement").dropDuplicates(["redaction_id"]).withColumn("h", F.xxhash64("redaction_id")).orderBy("h").limit(SAMPLE_LOG).toPandas()
+    t = lowest_hashes(cvs, "cv_id", [(F.col("cv_id").isNotNull(), SAMPLE_TEXTS)]).where("text is not null").select("cv_id", "text").toPandas().drop_duplicates("cv_id").sort_values("cv_id")
+    r = lowest_hashes(log, "redaction_id", [(F.col("redaction_id").isNotNull(), SAMPLE_LOG)]).where("original is not null").select("redaction_id", "original", "replacement").toPandas().drop_duplicates("redaction_id").sort_values("redaction_id")
     return t.text.tolist(), list(zip(r.original, r.replacement))
 
 
