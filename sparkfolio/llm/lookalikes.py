@@ -27,7 +27,7 @@ LOOKALIKES = [
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 _LAST = 0xFFFF
 #: Characters the mapping leaves alone unless a mark follows: ASCII, composed Latin letters, common punctuation.
-_STABLE = r" !-~¡-§©-¬®¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƣƤ-ǀǍ-ǰǴ-ȳḀ-ẙẠ-ỹ–-—“-„†•‰‹›€™"
+_STABLE = r" -~¡-§©-¬®¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƣƤ-ǀǍ-ǰǴ-ȳḀ-ẙẠ-ỹ–-—“-„†•‰‹›€™"
 
 
 def _lookalike_pairs() -> dict[str, str]:
@@ -93,10 +93,11 @@ def one_form(df: DataFrame, key: str, text: str, out: str = "one_form") -> DataF
     """
     mapping, marks, whole = _tables(df.sparkSession)
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    base = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).repartition(n, "k")
-    pieces = F.regexp_extract_all("t", F.lit(f"(?s)[{_STABLE}]?[^{_STABLE}]+|[{_STABLE}]+?(?=[{_STABLE}]?[^{_STABLE}]|\\z)"), F.lit(0))
+    base = df.select(F.col(key).alias("k"), F.translate(F.col(text).cast("string"), "\t\n\r\x0b\x0c", "     ").alias("t")).repartition(n, "k")
+    # An unstable run takes the character before it along, which its marks may belong to.
+    pieces = F.regexp_extract_all("t", F.lit(f"(?s)[{_STABLE}]?[^{_STABLE}]+|[{_STABLE}]++\\z|[{_STABLE}]+(?=[{_STABLE}][^{_STABLE}])"), F.lit(0))
     rows = base.select("k", F.col("t").isNull().alias("null_text"), F.posexplode_outer(F.when(F.length("t") > 0, pieces)).alias("seg", "piece"))
-    units = F.when(F.col("piece").rlike(f"[^{_STABLE}]"), F.split("piece", "")).otherwise(F.array("piece"))
+    units = F.when(F.col("piece").rlike(f"(?s)^.?[^{_STABLE}]"), F.split("piece", "")).otherwise(F.array("piece"))
     rows = rows.select("k", "null_text", "seg", F.posexplode_outer(units).alias("pos", "unit")).join(mapping, "unit", "left")
     rows = rows.select("k", "null_text", "seg", "pos", F.posexplode_outer(F.coalesce("targets", F.array("unit"))).alias("sub", "ch"))
     rows = rows.join(marks, "ch", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
