@@ -187,6 +187,15 @@ class Models:
         return self.classify_all([text])[0]
 
 
+class NoModels:
+    """Stands in where there is nothing to learn from: every text is rejected."""
+
+    langs: list[str] = []
+
+    def classify_all(self, texts: list[str]) -> list[tuple[None, float, float]]:
+        return [(None, 0.0, float("inf"))] * len(texts)
+
+
 #: Characters scored in one pass, which bounds a worker's memory.
 PASS_CHARS = 400_000
 
@@ -203,7 +212,7 @@ def _chunks(texts: list[str]):
         yield part
 
 
-def train(sample: pd.DataFrame) -> Models:
+def train(sample: pd.DataFrame) -> Models | NoModels:
     """Models from labelled texts (columns lang, text); every HELD_OUT-th text calibrates temperature and rejection."""
     fit: dict[str, list[str]] = {k: [] for k in LANGS}
     held = []
@@ -214,6 +223,8 @@ def train(sample: pd.DataFrame) -> Models:
         elif lang in fit:
             # Texts without accents occur as well; they train the same language.
             fit[lang] += [c, strip_accents(c)]
+    if not any(fit.values()):
+        return NoModels()
     models = Models({k: v for k, v in fit.items() if v})
     ents, right, noise, rng = [], [], [], np.random.default_rng(0)
     for lang, text in held:
