@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,23 +79,47 @@ def folded(text: str) -> tuple[str, list[int] | None]:
     """Text with look-alikes in one form, and per position its place in the original (None: the same places)."""
     if not _UNSTABLE.search(text):
         return text, None
-    out, place = [], []
-    for i, c in enumerate(text):
-        t = c if c in "\n\t" or c.isascii() else targets_of(c) if _UNSTABLE.match(c) else c
-        if unicodedata.combining(c) and out:
+    out: list[str] = []
+    place: list[int] = []
+    done = 0
+    for m in _UNSTABLE.finditer(text):
+        i = m.start()
+        out.extend(text[done:i])
+        place.extend(range(done, i))
+        done = i + 1
+        if unicodedata.combining(c := text[i]) and out:
             whole = unicodedata.normalize("NFC", out[-1] + c)
             if len(whole) == 1:
                 out[-1] = whole
                 continue
-        for x in unicodedata.normalize("NFC", t):
+        for x in unicodedata.normalize("NFC", _target(c)):
             out.append(x)
             place.append(i)
+    out.extend(text[done:])
+    place.extend(range(done, len(text)))
     return "".join(out), place + [len(text)]
 
 
+@lru_cache(maxsize=4096)
+def _target(c: str) -> str:
+    return targets_of(c)
+
+
+class _Plain(dict):
+    """Character -> its lower-case base letter, filled as characters occur."""
+
+    def __missing__(self, code: int) -> str:
+        base = unicodedata.normalize("NFD", chr(code))[0].lower()
+        self[code] = base = base if len(base) == 1 else chr(code)
+        return base
+
+
+_PLAIN = _Plain()
+
+
 def plain(text: str) -> str:
     """Lower case without accents, one character for one."""
-    return "".join((unicodedata.normalize("NFD", c)[0] if not c.isascii() else c) for c in text).lower()
+    return text.lower() if text.isascii() else text.translate(_PLAIN)
 
 
 def _address_spans(text: str):
@@ -189,8 +214,8 @@ class Lexicon:
         return sum(self.odds.get(x, 0.0) for x in gs) / len(gs)
 
 
-def features(text: str, low: str, lex: Lexicon, kind: str, s: int, e: int, whole: bool, near_address: bool = False) -> list[float]:
-    """Format and context of one span; the same columns for every kind."""
+def features(text: str, low: str, lex: Lexicon, kind: str, s: int, e: int, whole: bool, contexts: dict | None = None) -> list[float]:
+    """Format and context of one span; the same columns for every kind.  contexts: what stands before a place, kept per text."""
     v = text[s:e]
     digits = re.sub(r"\D", "", v)
     line_s = text.rfind("\n", 0, s) + 1
@@ -201,9 +226,19 @@ def features(text: str, low: str, lex: Lexicon, kind: str, s: int, e: int, whole
     groups = re.findall(r"\d+", v)
     out = [float(whole), float(s == line_s), float(e == line_e), float(line_e - line_s), min(6.0, float(text.count("\n", 0, min(s, 4000)))), float(len(v)), (e - s) / max(1, line_e - line_s), float("[" in text[line_s:line_e])]
     out += [float(len(digits)), float(len(groups)), float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(v[:1] == "0"), float(digits[:1] or 0), float(v.count(" ")), float(sum(c.isalpha() for c in v))]
-    out += [float(bool(p.match(v))) for p in _SHAPES] + [_birth_number(digits), _letter_check(v)]
-    for p in _CONTEXT.values():
-        out += [float(bool(p.search(left))), float(bool(p.search(near)))]
+    # The shapes are of numbers; names and email addresses have none of them.
+    out += [0.0] * len(_SHAPES) if kind in ("name", "email") else [float(p.match(v) is not None) for p in _SHAPES]
+    out += [_birth_number(digits), _letter_check(v)]
+    before = contexts.get(s) if contexts is not None else None
+    if before is None:
+        before = []
+        for p in _CONTEXT.values():
+            # What stands near also stands in the wider context.
+            far = p.search(left) is not None
+            before += [float(far), float(far and p.search(near) is not None)]
+        if contexts is not None:
+            contexts[s] = before
+    out += before
     out += [float(bool(_CONTEXT["money"].match(right.lstrip()))), float(right[:2] == " %"), float(bool(re.match(r",? (?:\d{3} ?\d{2}|\d{4,5}) [a-z]", right))), float(bool(_COMPANY_RIGHT.match(text[e: e + 24]))), float(left.rstrip()[-1:] == "&"), float(left.rstrip()[-1:] in (":", ".")), float(right[:1] in ("-", "/", "."))]
     if kind == "name":
         w = [plain(x) for x in re.split(r"[ ,]+", v) if x]
@@ -323,11 +358,11 @@ class Detector:
         self.lex = Lexicon([o for o, k in pairs if k == "name"], texts)
         rows: dict[str, list] = {k: [] for k in KINDS}
         for i, (text, k, whole) in enumerate([(folded(t)[0], None, False) for t in texts] + [(o, k, True) for o, k in pairs]):
-            low = plain(text)
+            low, contexts = plain(text), {}
             for kind, s, e in spans_of(text):
                 y = weak_label(text, low, self.lex, kind, s, e, whole, k)
                 if y is not None:
-                    rows[kind].append((features(text, low, self.lex, kind, s, e, whole), y, i))
+                    rows[kind].append((features(text, low, self.lex, kind, s, e, whole, contexts), y, i))
         self.models: dict[str, BoostedTrees | None] = {}
         self.labelled = {}
         for kind, r in rows.items():
@@ -348,10 +383,10 @@ class Detector:
         for i, t in enumerate(texts):
             text, place = folded(t)
             forms.append((text, place))
-            low = plain(text)
+            low, contexts = plain(text), {}
             for kind, s, e in spans_of(text):
                 if self.models.get(kind) is not None:
-                    todo[kind][0].append(features(text, low, self.lex, kind, s, e, whole))
+                    todo[kind][0].append(features(text, low, self.lex, kind, s, e, whole, contexts))
                     todo[kind][1].append((i, s, e))
         for kind, (X, at) in todo.items():
             if X:
