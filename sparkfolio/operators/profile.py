@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def needle(words: str) -> str:
 
 def labels(low: Column, groups: list[tuple[str, str]]) -> Column:
     """Labels whose words occur in a composed lower-case text, in the groups' order."""
-    return F.array_compact(F.array(*[F.when(low.rlike(needle(words)), F.lit(label)) for label, words in groups]))
+    # Most words are absent, which a plain search tells faster than the bounded pattern.
+    there = lambda words: reduce(lambda a, b: a | b, [low.contains(w.rstrip("*")) for w in words.split("|")])
+    return F.array_compact(F.array(*[F.when(there(words) & low.rlike(needle(words)), F.lit(label)) for label, words in groups]))
 
 
 def salvage(df: DataFrame, key: str, text: str) -> DataFrame:

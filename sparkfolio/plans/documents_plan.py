@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import STOPWORDS, compose, content_tokens, fold, jaccard, normalised
 from ..operators import actions, profile, redaction, sections, tenure, verify
-from ..session import table
+from ..session import spread, table
 from .sql import BLANK, FAMILIES, compose_sql, family_sql, fold_sql, header_sql, lines_sql, squeeze_sql, strip_sql, tokens_sql, words_sql
 
 EMAIL_SQL, URL_SQL = redaction.EMAIL, redaction.URL
@@ -18,6 +18,10 @@ BASELINE = [
 ]
 
 
+def _cvs(spark, d):
+    return spread(table(spark, d, "redacted_cv").select("cv_id", "text"))
+
+
 def _redact_email(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", redaction.EMAIL, "[EMAIL]").alias("redacted"))
 
@@ -33,31 +37,31 @@ def _redaction_counts(spark, d):
 
 
 def _redact_all(spark, d):
-    return redaction.redact(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return redaction.redact(_cvs(spark, d), "cv_id", "text")
 
 
 def _redaction_audit(spark, d):
-    return redaction.audit(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return redaction.audit(_cvs(spark, d), "cv_id", "text")
 
 
 def _header_lines(spark, d):
-    return sections.headers(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return sections.headers(_cvs(spark, d), "cv_id", "text")
 
 
 def _annotated(spark, d):
-    return sections.annotate(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return sections.annotate(_cvs(spark, d), "cv_id", "text")
 
 
 def _section_sizes(spark, d):
-    return sections.section_sizes(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return sections.section_sizes(_cvs(spark, d), "cv_id", "text")
 
 
 def _section_slices(spark, d):
-    return sections.section_slices(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return sections.section_slices(_cvs(spark, d), "cv_id", "text")
 
 
 def _anchorable(spark, d):
-    return sections.anchorable(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return sections.anchorable(_cvs(spark, d), "cv_id", "text")
 
 
 def _order_ok(spark, d):
@@ -71,7 +75,7 @@ def _token_overlap(spark, d):
 
 
 def _tenure(spark, d):
-    return tenure.tenure_years(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return tenure.tenure_years(_cvs(spark, d), "cv_id", "text")
 
 
 def _date_ranges(spark, d):
@@ -79,7 +83,7 @@ def _date_ranges(spark, d):
 
 
 def _timeline(spark, d):
-    return tenure.timeline(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return tenure.timeline(_cvs(spark, d), "cv_id", "text")
 
 
 def _verified(spark, d, by_section=False):
@@ -115,13 +119,13 @@ def _first_verified(spark, d):
 
 
 def _skill_labels(spark, d):
-    low = table(spark, d, "redacted_cv").select("cv_id", F.lower(compose(F.col("text"))).alias("t"))
+    low = _cvs(spark, d).select("cv_id", F.lower(compose(F.col("text"))).alias("t"))
     join = lambda groups: F.array_join(profile.labels(F.col("t"), groups), ",")
     return low.select("cv_id", join(profile.SKILLS).alias("skills"), join(profile.SOFT_SIGNALS).alias("soft_signals"))
 
 
 def _salvage(spark, d):
-    return profile.salvage(table(spark, d, "redacted_cv"), "cv_id", "text")
+    return profile.salvage(_cvs(spark, d), "cv_id", "text")
 
 
 def _evidence_score(spark, d):
@@ -148,7 +152,7 @@ def _action_pool(spark, d):
 
 
 def _boilerplate(spark, d):
-    c = table(spark, d, "candidates").where("anchor_quote is not null").select("candidate_id", "anchor_quote").distinct()
+    c = spread(table(spark, d, "candidates").where("anchor_quote is not null").select("candidate_id", "anchor_quote")).distinct()
     return actions.boilerplate(c, "candidate_id", "anchor_quote", BASELINE)
 
 
@@ -160,7 +164,7 @@ def _normalised_quotes(spark, d):
 def _education_level(spark, d):
     from ..operators import evidence
 
-    return evidence.education_level(sections.section_slices(table(spark, d, "redacted_cv"), "cv_id", "text"), "cv_id")
+    return evidence.education_level(sections.section_slices(_cvs(spark, d), "cv_id", "text"), "cv_id")
 
 
 QUERIES = {

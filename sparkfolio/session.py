@@ -25,12 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rebalance a scan for Python-heavy work.
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
 
-    A small parquet file comes in as one split, so one task would do all the Python work.
-    Only the columns the stage needs should be in `df`: the exchange moves them once.
+    A small parquet file is one split, so one task would do all the work on its rows; an input with enough
+    splits stays as it is and isn't shuffled.  Select only what is needed before.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *cols) if cols else df.repartition(n)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
