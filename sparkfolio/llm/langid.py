@@ -265,7 +265,12 @@ def _load(bc) -> Models:
 
 
 def _counted_line(line: str) -> bool:
-    return len(line.split()) >= 6 and line.rstrip().endswith(".")
+    """Six or more words, ending in a full stop; a bullet isn't a word, invisible characters don't count."""
+    line = (line if line.isascii() else _JUNK.sub("", line)).rstrip()
+    if not line.endswith("."):
+        return False
+    words = line.split()
+    return len(words) >= 6 and sum(any(map(str.isalnum, w)) for w in words) >= 6
 
 
 def blocks_of(text: str) -> list[str]:

@@ -71,6 +71,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 42, total_
 def mix_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: the share aimed at and the share, tokens, documents and most uses of one document reached."""
     got = selection.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("docs"), F.max("copy").alias("most_uses"))
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.join(got, "source", "left").join(F.broadcast(total))  # one row
+    # A window over the few rows of the report.
+    out = targets.join(got, "source", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1))))
     return out.select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import bisect
 import os
-import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -218,7 +217,6 @@ def pack_documents(documents: DataFrame, limits: DataFrame, path: str = TOKENIZE
     `part` numbers the pieces of a document above the capacity; other documents are whole (part 0).  Null and
     empty documents need no room and don't appear.  `limits` is a small fixed table (3 rows).
     """
-    sys.setrecursionlimit(10000)
     kinds = [(r[0], int(r[1])) for r in limits.where("container_kind is not null and capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind", "capacity_tokens").collect()]
     counts = token_counts(documents, path).where("tokens > 0")
     # As many shards as keep about SHARD_DOCS documents in one; the count is read from the table's own metadata.
