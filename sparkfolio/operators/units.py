@@ -4,12 +4,14 @@ A value's unit comes from its text where stated, else from its record's market.
 settled by the source's history: every source (a query text) keeps, per day, the count, sum and sum of
 squares of its log values; an exact penalised changepoint search over these cuts the history into level
 segments, and a level shift that matches a known factor marks a unit change, reversed for values whose
-unit is unknown.  The history is pre-aggregated per day before any shuffle, so a hot source costs as many
-rows as it has days.
+unit is unknown.  Values of known and of unknown unit are cut apart, so that mixed days blur neither; the
+known ones give the level that the unknown ones are compared with.  The history is pre-aggregated per day
+before any shuffle, so a hot source costs as many rows as it has days.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -183,10 +185,10 @@ def _parse_batches(per_year: dict, per_eur: dict):
                 low, high, cur, per = found
                 currency = cur or market_currency
                 period = per or clean_period(mp) or (cp if isinstance(cp, str) else None)
-                known = currency in per_eur and period in per_year
+                no_period, no_currency = period not in per_year, currency not in per_eur
                 rate = per_year.get(period, 1) / per_eur.get(currency, 1.0)
-                out.append((rid, src, at, low, high, rate, known, per is None, cur is None))
-            yield pd.DataFrame(out, columns=["record_id", "source", "day", "low", "high", "rate", "known", "period_filled", "currency_filled"])
+                out.append((rid, src, at, low, high, rate, not (no_period or no_currency), no_period, no_currency, per is None, cur is None))
+            yield pd.DataFrame(out, columns=["record_id", "source", "day", "low", "high", "rate", "known", "no_period", "no_currency", "period_filled", "currency_filled"])
 
     return run
 
@@ -214,7 +216,7 @@ def read_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: Da
     # Redelivered results meet on the record; this exchange also spreads the parsing.
     rows = rows.drop("cv_id").repartition(n, "record_id")
     return rows.mapInPandas(
-        _parse_batches(per_year, per_eur), "record_id long, source string, day date, low double, high double, rate double, known boolean, period_filled boolean, currency_filled boolean"
+        _parse_batches(per_year, per_eur), "record_id long, source string, day date, low double, high double, rate double, known boolean, no_period boolean, no_currency boolean, period_filled boolean, currency_filled boolean"
     ).dropDuplicates(["record_id"])
 
 
@@ -253,11 +255,16 @@ def match_factor(shift: float) -> tuple[str, float] | None:
     return (name, math.copysign(math.log(f), shift)) if abs(abs(shift) - math.log(f)) <= FACTOR_TOLERANCE else None
 
 
+def _levels(pdf: pd.DataFrame) -> tuple[list[tuple[int, int, float]], float]:
+    """The level segments of daily sums in order of the day, and the level of the largest."""
+    found = segment(pdf.n.to_numpy(float), pdf.s.to_numpy(float), pdf.q.to_numpy(float))
+    return found, max(found, key=lambda x: (float(pdf.n.iloc[x[0]: x[1]].sum()), -x[0]))[2]
+
+
 def _segments(pdf: pd.DataFrame) -> pd.DataFrame:
     """One source's daily sums -> its level segments, the largest being the reference level."""
     pdf = pdf.sort_values("day").reset_index(drop=True)
-    found = segment(pdf.n.to_numpy(float), pdf.s.to_numpy(float), pdf.q.to_numpy(float))
-    base = max(found, key=lambda x: (float(pdf.n.iloc[x[0]: x[1]].sum()), -x[0]))[2]
+    found, base = _levels(pdf)
     out = []
     for a, b, level in found:
         hit = match_factor(level - base)
@@ -265,23 +272,69 @@ def _segments(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "first_day", "last_day", "n", "level", "unit_change", "log_factor"])
 
 
+def unit_shifts(no_period: bool, no_currency: bool, per_year: dict, per_eur: dict) -> list[float]:
+    """The log shifts that values show against euros a year, by what isn't known of their unit; any scale may be left out."""
+    periods = per_year.values() if no_period else [1]
+    currencies = per_eur.values() if no_currency else [1.0]
+    return [math.log(c) - math.log(p) - math.log(f) for f, p, c in itertools.product((1.0, KNOWN_FACTORS["thousand"], KNOWN_FACTORS["million"]), periods, currencies)]
+
+
+def _unknown_segments(per_year: dict, per_eur: dict):
+    """One source's daily sums of known and unknown values -> the shift of each level segment of the unknown ones."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        out, known = [], pdf[pdf.known]
+        base = _levels(known)[1] if len(known) else None
+        for (no_period, no_currency), part in pdf[~pdf.known].groupby(["no_period", "no_currency"]):
+            found, own = _levels(part)
+            shifts = unit_shifts(no_period, no_currency, per_year, per_eur)
+            for a, b, level in found:
+                if base is None:  # only other unknown values to compare with
+                    hit = match_factor(level - own)
+                    factor = hit[1] if hit else 0.0
+                else:
+                    near = min(shifts, key=lambda x: abs(level - base - x))
+                    factor = near if abs(level - base - near) <= FACTOR_TOLERANCE else 0.0
+                out.append((part.source.iloc[0], no_period, no_currency, part.day.iloc[a], part.day.iloc[b - 1], factor))
+        return pd.DataFrame(out, columns=["source", "no_period", "no_currency", "first_day", "last_day", "log_factor"])
+
+    return run
+
+
+def _daily(values: DataFrame, *keys: str) -> DataFrame:
+    rows = values.where("source is not null and day is not null and v > 0")
+    return rows.groupBy("source", "day", *keys).agg(F.count("*").alias("n"), F.sum(F.log("v")).alias("s"), F.sum(F.log("v") * F.log("v")).alias("q"))
+
+
 def unit_segments(values: DataFrame) -> DataFrame:
     """Level segments of each source's history of log values, with the unit change a segment shows.
 
     values: source, day, v (> 0).  Null sources or days and values that aren't positive count for nothing.
     """
-    daily = values.where("source is not null and day is not null and v > 0").groupBy("source", "day").agg(F.count("*").alias("n"), F.sum(F.log("v")).alias("s"), F.sum(F.log("v") * F.log("v")).alias("q"))
-    return daily.groupBy("source").applyInPandas(_segments, "source string, first_day date, last_day date, n long, level double, unit_change string, log_factor double")
+    return _daily(values).groupBy("source").applyInPandas(_segments, "source string, first_day date, last_day date, n long, level double, unit_change string, log_factor double")
 
 
 def yearly_euros(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
-    """p4: (result_id, low_eur_year, high_eur_year); unknown units take their segment's unit change reversed."""
-    tables = (results, specs, market_ref, fx, periods)
-    pay = read_pay(*tables)
-    unknown = read_pay(*tables, without_market=True).where("not known")
-    segments = unit_segments(unknown.select("source", "day", (F.col("high") * F.col("rate")).alias("v")))
-    shift = segments.where("log_factor <> 0").select(F.col("source").alias("g_source"), "first_day", "last_day", "log_factor")
-    fixed = unknown.join(shift, (F.col("source") == F.col("g_source")) & F.col("day").between(F.col("first_day"), F.col("last_day")), "left")
+    """p4: (result_id, low_eur_year, high_eur_year); unknown units take their segment's unit change reversed.
+
+    The history of a source that has unknown values is all its pay; other sources' history decides nothing
+    and isn't read.
+    """
+    tables = (specs, market_ref, fx, periods)
+    pay = read_pay(results, *tables)
+    unknown = read_pay(results, *tables, without_market=True).where("not known")
+    asked = unknown.select(F.col("source").alias("query_text")).distinct()
+    history = read_pay(results.join(asked, "query_text", "left_semi"), *tables).withColumn("v", F.col("high") * F.col("rate"))
+    per_eur = {r[0]: float(r[1]) for r in fx.select("currency", "units_per_eur").dropna().collect()}
+    per_year = {r[0]: int(r[1]) for r in periods.select("pay_period", "per_year").dropna().collect()}
+    units = ["no_period", "no_currency"]
+    segments = _daily(history, "known", *units).groupBy("source").applyInPandas(
+        _unknown_segments(per_year, per_eur), "source string, no_period boolean, no_currency boolean, first_day date, last_day date, log_factor double"
+    )
+    shift = segments.where("log_factor <> 0").select(*(F.col(c).alias(f"g_{c}") for c in ("source", *units)), "first_day", "last_day", "log_factor")
+    same = [F.col(c) == F.col(f"g_{c}") for c in ("source", *units)]
+    fixed = unknown.join(shift, [*same, F.col("day").between(F.col("first_day"), F.col("last_day"))], "left")
     fixed = fixed.withColumn("rate", F.col("rate") / F.exp(F.coalesce("log_factor", F.lit(0.0)))).select("record_id", "low", "high", "rate")
     rows = pay.where("known").select("record_id", "low", "high", "rate").unionByName(fixed)
     return rows.select(

@@ -69,3 +69,20 @@ def test_yearly_euros(spark):
     got = {tuple(r) for r in yearly_euros(res, spec, ref, fx, per).collect()}
     assert got == {(1, 24000, 24000), (2, 28800, 28800), (3, 30000, 30000)}
     assert yearly_euros(res.where("false"), spec, ref, fx, per).count() == 0
+
+
+def test_unknown_units_are_compared_with_the_known_level(spark):
+    """Unstated months, thousands and currencies, alone and on days with known values: each alike in its own history."""
+    rows = []
+    for i in range(1, 21):
+        rows += [(100 + i, "q", f"2024-01-{i:02d}", f"{29000 + 100 * i} € per year"), (200 + i, "q", f"2024-02-{i:02d}", "2500 €" if i <= 10 else "30 €"), (300 + i, "q", f"2024-01-{i:02d}", "750 000 per year"), (400 + i, "alone", f"2024-01-{i:02d}", "2500 €")]
+    res = spark.createDataFrame(rows, "result_id long, query_text string, day string, body string").selectExpr("*", "cast(null as long) cv_id", "to_timestamp(day) fetched_at")
+    spec = spark.createDataFrame([], "cv_id long, country string, currency string, pay_period string")
+    ref = spark.createDataFrame([("CZ", "CZK", "month")], "country string, currency string, pay_period string")
+    fx = spark.createDataFrame([("CZK", 25.0), ("EUR", 1.0)], "currency string, units_per_eur double")
+    per = spark.createDataFrame([("month", 12), ("year", 1)], "pay_period string, per_year int")
+    got = {r.result_id: r.high_eur_year for r in yearly_euros(res, spec, ref, fx, per).collect()}
+    assert len(got) == 80
+    assert {got[100 + i] - 29000 - 100 * i for i in range(1, 21)} == {0}
+    assert {got[200 + i] for i in range(1, 21)} == {30000} and {got[300 + i] for i in range(1, 21)} == {30000}
+    assert {got[400 + i] for i in range(1, 21)} == {2500}  # no known value to compare with
