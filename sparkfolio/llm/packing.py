@@ -2,7 +2,8 @@
 
 Token counts come from a public tokenizer whose file is a parameter.  Documents are spread over shards by
 a hash (so no source or uploader makes a hot group); within a shard, per capacity, the largest open document
-is completed by branch-and-bound over undominated fillings, with best-fit decreasing as first incumbent.
+is completed by the fullest undominated filling, found by branching under an exact bound, with best-fit
+decreasing as first incumbent.
 A document above the capacity alone is split into full containers and a rest.  The badly filled containers
 of all shards are emptied and packed once more, together, in a few larger shards.
 """
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 TOKENIZER_FILE = os.environ.get("SPARKFOLIO_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_DOCS = 4000
-#: Search steps allowed per container, and the share of capacity below which a container is packed once more.
-STEPS, REPACK_BELOW = 400, 0.97
+#: Tables of reachable sums held at once (the others are made again), and the share of capacity below which a container is packed once more.
+TABLES, REPACK_BELOW = 64, 0.97
 
 _ENCODERS: dict = {}
 
@@ -73,13 +74,14 @@ class _Sizes:
         return self.order[i - 1] if i else None
 
 
-def complete(first: int, room: int, sizes: _Sizes, steps: int = STEPS) -> list[int]:
+def complete(first: int, room: int, sizes: _Sizes, tables: int = TABLES) -> list[int]:
     """The fullest undominated filling of the room beside the largest item.
 
-    Branches take the next item largest first, each no larger than the one before (so every filling is
-    met once); a filling is dominated when an unused item still fits, or when a used item may be replaced
-    by a larger one that fits, which largest-first order visits earlier.  A branch whose remaining room
-    exceeds what all smaller items can fill with the items left at the waste bound is cut.
+    Branches take the next item largest first, each no larger than the one before.  The bound is exact: a
+    table per size (one bit a sum) has the sums that items up to that size can reach, so a branch is cut
+    just when what it leaves can't be filled to the least waste, and the first one not cut is the result
+    without going back, however many items it takes.  Largest first, it is undominated: no used items may be
+    replaced by one larger item of their joint size.
     """
     # Incumbent: best fit decreasing.
     best: list[int] = []
@@ -88,42 +90,45 @@ def complete(first: int, room: int, sizes: _Sizes, steps: int = STEPS) -> list[i
         best.append(s)
         used[s] = used.get(s, 0) + 1
         rest -= s
-    waste, budget = rest, [steps]
-    if waste == 0:
+    if rest == 0:
         return best
 
-    def branch(rest: int, cap: int, chosen: list[int], used: dict) -> bool:
-        nonlocal best, waste
-        i = bisect.bisect_right(sizes.order, min(rest, cap)) - 1
-        if i < 0:
-            if rest < waste:
-                best, waste = list(chosen), rest
-            return waste == 0
-        tried = 0
-        while i >= 0 and budget[0] > 0:
-            s = sizes.order[i]
-            i -= 1
-            if used.get(s, 0) >= sizes.left[s] - (s == first):
-                continue
-            budget[0] -= 1
-            tried += 1
-            # Waste bound: with two items at most still to come, smaller starts can't beat the incumbent.
-            if len(chosen) >= 6 or (s * 8 < rest and tried > 4):
-                break
-            used[s] = used.get(s, 0) + 1
-            chosen.append(s)
-            if rest - s < waste:
-                best, waste = list(chosen), rest - s
-            if waste == 0 or branch(rest - s, s, chosen, used):
-                return True
-            chosen.pop()
-            used[s] -= 1
-        return False
-
-    branch(room, first, [], {})
+    # More copies than the room holds are never taken.
+    items = [(s, n) for s in sizes.order[: bisect.bisect_right(sizes.order, room)] if (n := min(sizes.left[s] - (s == first), room // s)) > 0]
+    marks, reach = [], 1
+    for i, (s, n) in enumerate(items):
+        if i % tables == 0:
+            marks.append(reach)
+        reach = _with(reach, s, n, room)
+    need = reach.bit_length() - 1
+    if room - need == rest:
+        return best
+    best = []
+    for block in range(len(marks) - 1, -1, -1):
+        part = items[block * tables : (block + 1) * tables]
+        below = [marks[block]]  # per size: the sums that smaller ones reach
+        for s, n in part[:-1]:
+            below.append(_with(below[-1], s, n, room))
+        for (s, n), smaller in zip(reversed(part), reversed(below)):
+            n = min(n, need // s)
+            while not smaller >> (need - n * s) & 1:
+                n -= 1
+            best += [s] * n
+            need -= n * s
     return best
 
 
+def _with(reach: int, size: int, copies: int, room: int) -> int:
+    """The sums up to the room that are reached with up to so many copies of one more size."""
+    mask, n = (1 << room + 1) - 1, 1
+    while copies > 0:
+        n = min(n, copies)
+        reach |= reach << size * n & mask
+        copies -= n
+        n *= 2
+    return reach
+
+
 def _fit(sizes: _Sizes, room: int, used: dict, first: int) -> int | None:
     i = bisect.bisect_right(sizes.order, room) - 1
     while i >= 0:
@@ -149,7 +154,7 @@ def best_fit(items: list[tuple[int, int]], capacity: int) -> list[list[tuple[int
     return out
 
 
-def pack(items: list[tuple[int, int]], capacity: int, steps: int = STEPS) -> list[list[tuple[int, int]]]:
+def pack(items: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
     """Containers as lists of (id, size) for items no larger than the capacity.
 
     The largest open item is completed again and again; best fit decreasing over all items stays the
@@ -161,7 +166,7 @@ def pack(items: list[tuple[int, int]], capacity: int, steps: int = STEPS) -> lis
     sizes, out = _Sizes([s for _, s in items]), []
     while sizes.order:
         first = sizes.order[-1]
-        filling = [first, *complete(first, capacity - first, sizes, steps)]
+        filling = [first, *complete(first, capacity - first, sizes)]
         for s in filling:
             sizes.take(s)
         out.append([(by_size[s].pop(), s) for s in filling])

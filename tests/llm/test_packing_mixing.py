@@ -35,6 +35,21 @@ def test_completion_finds_perfect_fillings():
     assert sum(packing.complete(50, 50, sizes, 1000)) == 50  # 25 + 25, where best fit takes 30 + 19
 
 
+def test_completion_takes_any_number_of_items():
+    assert packing.complete(60, 104, packing._Sizes([60, 50, *[13] * 8])) == [13] * 8  # best fit takes 50 + 4 * 13
+    rng = random.Random(4)
+    for tables in (1, 3, 64):
+        for _ in range(100):
+            items = [rng.randint(3, 60) for _ in range(rng.randint(1, 14))]
+            first, rest = max(items), sorted(items)[:-1]
+            room = rng.randint(0, 200)
+            sums = {0}
+            for x in rest:
+                sums |= {x + y for y in sums}
+            got = packing.complete(first, room, packing._Sizes(items), tables)
+            assert sum(got) == max(x for x in sums if x <= room) and all(got.count(x) <= rest.count(x) for x in got)
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "5 as tokens", "'c' as part")
 
