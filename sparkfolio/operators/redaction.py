@@ -22,6 +22,16 @@ YEAR_ENVELOPE = rf"{MONTH}\s+{YEAR}|{YEAR}\s+{MONTH}|{YEAR}\s*[-–]\s*(?:Presen
 POSTCODE_ENVELOPE = r",\s*[A-Za-zÀ-ž]{3,}[^,\n]{0,20}?\b\d{3} ?\d{2}\b|\b\d{3} ?\d{2}\b[^,\n]{0,20}?,\s*[A-Za-zÀ-ž]{3,}"
 ADDRESS_LINE = r"^\s*(?!(?:19|20)\d\d)\d{1,5} \p{Lu}[\p{L}'.-]*(?:[ ,]+[\p{L}\d'.-]+)*\s*$"
 NAME_LABEL = r"(?im)^([ \t]*Name[ \t]*:[ \t]*)[A-ZÀ-Ž][\wÀ-ž'’\-]*(?:[ \t]+[A-ZÀ-Ž][\wÀ-ž'’\-]*){0,3}(?=[ \t]*$)"
+MARKER = r"\[(?:EMAIL|PHONE|URL|POSTCODE|YEAR|NAME)\]"
+# Headings that look like a name in the head of a CV.
+HEADINGS = [
+    "summary", "profile", "resume", "cv", "curriculum vitae", "objective", "about me", "about", "contact", "contact information", "personal information", "experience",
+    "work experience", "education", "skills", "projects", "pracovní zkušenosti", "vzdělání", "dovednosti", "životopis",
+]
+_S = r"[\s\x1c-\x1f]"
+# A word in title case: one capital, or a capital and more with a small letter among it.
+_TITLE = r"\p{Lu}(?:(?=[\p{L}'’-]*\p{Ll})[\p{L}'’-]+)?"
+NAME = rf"(?U)^{_TITLE}(?:{_S}+{_TITLE}){{1,3}}$"
 _A, _B = "\x01", "\x02"
 HEADER_LINES, NAME_LINES = 20, 10
 
@@ -38,10 +48,21 @@ def found_within(text: Column, envelope: str, part: str) -> Column:
 
 
 def header_name(text: Column) -> Column:
-    """The name in the first ten non-blank lines, or null: two to four words, all in title case, no digits, markers or separators."""
-    head = F.slice(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1, NAME_LINES)
-    name = r"^\s*\p{Lu}\p{Ll}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*\.?){1,3}\s*$"
-    return F.trim(F.try_element_at(F.filter(head, lambda x: x.rlike(name) & ~x.rlike(r"^\s*[\p{Lu} .'-]+\s*$")), F.lit(1)))
+    """The name in the first ten non-blank lines, or null: two to four words, all in title case, and no heading.
+
+    On a line with markers it is what the markers and separators leave, if that stands together and the line
+    has no colon ('Jan Novotny | [PHONE]').
+    """
+    strip = lambda x: F.regexp_replace(x, rf"(?U)^{_S}+|{_S}+$", "")
+
+    def name(x: Column) -> Column:
+        left = strip(F.regexp_replace(F.regexp_replace(x, rf"{MARKER}|[|·•—–]", " "), rf"(?U){_S}+", " "))
+        fits = lambda n: n.rlike(NAME) & ~F.lower(n).isin(HEADINGS)
+        mixed = F.when(~F.contains(x, F.lit(":")) & fits(left) & F.contains(x, left), left)
+        return F.when(x.rlike(MARKER), mixed).when(fits(x) & x.rlike(r"\p{Ll}"), x)
+
+    head = F.slice(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), 1, NAME_LINES)
+    return F.try_element_at(F.filter(F.transform(head, name), lambda x: x.isNotNull()), F.lit(1))
 
 
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:

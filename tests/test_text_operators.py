@@ -37,6 +37,21 @@ def test_redaction_passes(spark):
     assert [tuple(x) for x in redaction.audit(df, "k", "t").orderBy("kind").collect()] == [(1, "email", 0, "jan.novak@mail.cz"), (1, "phone", 0, "+420 603 123 456"), (1, "url", 0, "https://x.y/z")]
 
 
+HEADS = [
+    ("Work Experience\nJan Novák\nled by Jan Novák", "Work Experience\n[NAME]\nled by [NAME]"),
+    ("CURRICULUM VITAE\nPracovní zkušenosti\nPetr Malý", "CURRICULUM VITAE\nPracovní zkušenosti\n[NAME]"),
+    ("Jan Novotny | 603 123 456\nPrague", "[NAME] | [PHONE]\nPrague"),
+    ("a@b.cz · Jean-Luc O'Brien · https://x.y\nby Jean-Luc O'Brien", "[EMAIL] · [NAME] · [URL]\nby [NAME]"),
+    ("Email Me: a@b.cz\nLinkedIn https://x.y\nPraha | a@b.cz\nWork Experience — a@b.cz\nJan a@b.cz Novák\nEva Malá", "Email Me: [EMAIL]\nLinkedIn [URL]\nPraha | [EMAIL]\nWork Experience — [EMAIL]\nJan [EMAIL] Novák\n[NAME]"),
+    ("John PHD\nJane Doe Jr.\nJ N\nSenior Data analyst\nMary J Watson", "John PHD\nJane Doe Jr.\nJ N\nSenior Data analyst\n[NAME]"),
+]
+
+
+def test_header_name(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HEADS)], "k int, t string")
+    assert {r.k: r.redacted for r in redaction.redact(df, "k", "t").collect()} == {i: want for i, (_, want) in enumerate(HEADS)}
+
+
 def test_phone_pattern_like_python(spark):
     samples = ["603123456", "x603 123 456y", "1603123456", "(555) 123-4567", "555.123.4567", "v1.2.3", "+1 555 123 4567", "12-603123456"]
     df = spark.createDataFrame([(s,) for s in samples], "t string").select("t", F.regexp_extract_all("t", F.lit(f"({redaction.PHONE})"), F.lit(1)).alias("x"))
