@@ -21,7 +21,7 @@ YEAR = r"(?:19|20)\d{2}"
 YEAR_ENVELOPE = rf"{MONTH}\s+{YEAR}|{YEAR}\s+{MONTH}|{YEAR}\s*[-–]\s*(?:Present|present|{YEAR})|(?:Present|present)\s*[-–]\s*{YEAR}"
 POSTCODE_ENVELOPE = r",\s*[A-Za-zÀ-ž]{3,}[^,\n]{0,20}?\b\d{3} ?\d{2}\b|\b\d{3} ?\d{2}\b[^,\n]{0,20}?,\s*[A-Za-zÀ-ž]{3,}"
 ADDRESS_LINE = r"^\s*(?!(?:19|20)\d\d)\d{1,5} \p{Lu}[\p{L}'.-]*(?:[ ,]+[\p{L}\d'.-]+)*\s*$"
-NAME_LABEL = r"(?im)^([ \t]*Name[ \t]*:[ \t]*)[A-ZÀ-Ž][\wÀ-ž'’\-]*(?:[ \t]+[A-ZÀ-Ž][\wÀ-ž'’\-]*){0,3}(?=[ \t]*$)"
+NAME_LABEL = r"(?im)^([ \t]*Name[ \t]*:[ \t]*)([A-ZÀ-Ž][\wÀ-ž'’\-]*(?:[ \t]+[A-ZÀ-Ž][\wÀ-ž'’\-]*){0,3})(?=[ \t]*$)"
 MARKER = r"\[(?:EMAIL|PHONE|URL|POSTCODE|YEAR|NAME)\]"
 # Headings that look like a name in the head of a CV.
 HEADINGS = [
@@ -65,42 +65,54 @@ def header_name(text: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(head, name), lambda x: x.isNotNull()), F.lit(1))
 
 
-def redact(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, redacted, and the number of replacements of each kind): the ordered passes over the whole text.
+KINDS = ["url", "email", "phone", "address", "postcode", "year", "name", "name_label"]
 
-    A null text stays null with zero counts.  A second run over the result changes nothing.
-    """
+
+def _passes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _t: the redacted text, and per kind what its pass took out of the text it saw, as array _kind)."""
     t = F.col("_t")
     steps = df.select(key, F.col(text).alias("_t"))
-    counts = []
 
-    def count(name: str, found: Column):
+    def step(kind: str, found: Column, after: Column):
         nonlocal steps
-        steps = steps.withColumn(name, F.coalesce(F.size(found), F.lit(0)))
-        counts.append(name)
+        steps = steps.withColumn(f"_{kind}", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_t", after)
 
-    for name, pattern in (("n_url", URL), ("n_email", EMAIL), ("n_phone", PHONE)):
-        count(name, F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)))
-        steps = steps.withColumn("_t", F.regexp_replace(t, pattern, f"[{name[2:].upper()}]"))
+    for kind, pattern in (("url", URL), ("email", EMAIL), ("phone", PHONE)):
+        step(kind, F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), F.regexp_replace(t, pattern, f"[{kind.upper()}]"))
     rows = F.split(t, "\n")
     street = lambda x, i: (i < HEADER_LINES) & x.rlike(ADDRESS_LINE)
-    count("n_address", F.filter(rows, street))
-    steps = steps.withColumn("_t", F.array_join(F.transform(rows, lambda x, i: F.when(street(x, i), F.lit("[ADDRESS]")).otherwise(x)), "\n"))
-    count("n_postcode", found_within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}"))
-    steps = steps.withColumn("_t", within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}", "[POSTCODE]"))
-    count("n_year", found_within(t, YEAR_ENVELOPE, YEAR))
-    steps = steps.withColumn("_t", within(t, YEAR_ENVELOPE, YEAR, "[YEAR]"))
-    steps = steps.withColumn("_name", header_name(t))
-    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("_name"), F.lit(r"\E(?!\w)"))
-    count("n_name", F.when(F.col("_name").isNotNull(), F.regexp_extract_all(t, pattern, F.lit(0))))
-    steps = steps.withColumn("_t", F.when(F.col("_name").isNotNull(), F.regexp_replace(t, pattern, F.lit("[NAME]"))).otherwise(t))
-    count("n_name_label", F.regexp_extract_all(t, F.lit(NAME_LABEL), F.lit(1)))
-    steps = steps.withColumn("_t", F.regexp_replace(t, NAME_LABEL, "$1[NAME]"))
-    return steps.select(key, F.col("_t").alias("redacted"), *counts)
+    marked = F.array_join(F.transform(rows, lambda x, i: F.when(street(x, i), F.lit("[ADDRESS]")).otherwise(x)), "\n")
+    step("address", F.transform(F.filter(rows, street), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), marked)
+    step("postcode", found_within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}"), within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}", "[POSTCODE]"))
+    step("year", found_within(t, YEAR_ENVELOPE, YEAR), within(t, YEAR_ENVELOPE, YEAR, "[YEAR]"))
+    steps = steps.withColumn("_header", header_name(t))
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("_header"), F.lit(r"\E(?!\w)"))
+    named = F.col("_header").isNotNull()
+    step("name", F.when(named, F.regexp_extract_all(t, pattern, F.lit(0))), F.when(named, F.regexp_replace(t, pattern, F.lit("[NAME]"))).otherwise(t))
+    step("name_label", F.regexp_extract_all(t, F.lit(NAME_LABEL), F.lit(2)), F.regexp_replace(t, NAME_LABEL, "$1[NAME]"))
+    return steps.drop("_header")
+
+
+def redact(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, redacted, and the number of replacements of each kind): the ordered passes over the whole text.
+
+    A null text stays null with zero counts.  A second run over the result changes nothing.
+    """
+    return _passes(df, key, text).select(key, F.col("_t").alias("redacted"), *(F.size(f"_{k}").alias(f"n_{k}") for k in KINDS))
+
+
+def audit_all(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, ord, original) of everything that redact() takes out: as many rows of a kind as its count there.
+
+    Kind name has the header name and its repeats, name_label the names after 'Name:'.
+    """
+    row = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), x.alias("original"))
+    found = F.concat(*(F.transform(f"_{k}", row(k)) for k in KINDS))
+    return _passes(df, key, text).select(key, F.explode(found).alias("r")).select(key, "r.kind", "r.ord", "r.original")
 
 
 def audit(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, ord, original) of what the URL, email and phone passes would take out, each in the text the pass sees."""
+    """(key, kind, ord, original) of what the URL, email and phone passes alone would take out, each in the text the pass sees."""
     after_url = F.regexp_replace(F.col(text), URL, "[URL]")
     after_email = F.regexp_replace(after_url, EMAIL, "[EMAIL]")
     out = None

@@ -41,7 +41,7 @@ def _redact_all(spark, d):
 
 
 def _redaction_audit(spark, d):
-    return redaction.audit(_cvs(spark, d), "cv_id", "text")
+    return redaction.audit_all(_cvs(spark, d), "cv_id", "text")
 
 
 def _header_lines(spark, d):

@@ -52,6 +52,19 @@ def test_header_name(spark):
     assert {r.k: r.redacted for r in redaction.redact(df, "k", "t").collect()} == {i: want for i, (_, want) in enumerate(HEADS)}
 
 
+def test_audit_of_every_pass(spark):
+    text = "Jan Novák\n  12 Long Street, Praha\nsee https://x.y/z or jan@mail.cz, +420 603 123 456\nMay 2015 - June 2016\nPraha, Karlín 186 00\nJan Novák wrote this\nName: Petr Malý"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "prose")], "k int, t string")
+    rows = redaction.audit_all(df, "k", "t").collect()
+    assert sorted((r.kind, r.ord, r.original) for r in rows) == [
+        ("address", 0, "12 Long Street, Praha"), ("email", 0, "jan@mail.cz"), ("name", 0, "Jan Novák"), ("name", 1, "Jan Novák"), ("name_label", 0, "Petr Malý"),
+        ("phone", 0, "+420 603 123 456"), ("postcode", 0, "186 00"), ("url", 0, "https://x.y/z"), ("year", 0, "2015"), ("year", 1, "2016"),
+    ]
+    assert {r.k for r in rows} == {1}
+    n = {r.k: r.asDict() for r in redaction.redact(df, "k", "t").collect()}
+    assert all(n[k][f"n_{kind}"] == sum(r.k == k and r.kind == kind for r in rows) for k in n for kind in redaction.KINDS)
+
+
 def test_phone_pattern_like_python(spark):
     samples = ["603123456", "x603 123 456y", "1603123456", "(555) 123-4567", "555.123.4567", "v1.2.3", "+1 555 123 4567", "12-603123456"]
     df = spark.createDataFrame([(s,) for s in samples], "t string").select("t", F.regexp_extract_all("t", F.lit(f"({redaction.PHONE})"), F.lit(1)).alias("x"))
