@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import lowest_hashes
@@ -70,8 +70,14 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("n_lines", F.size(lines))
     over = lambda x, n: F.when(F.col(n) > 0, x / F.col(n)).otherwise(0.0)
     share = lambda cond: over(F.size(F.filter(lines, cond)), "n_lines")
-    # The first, the middle and the last line stand for a line that comes again and again.
-    again = lambda i: over(F.size(F.filter(lines, lambda x: x == F.try_element_at(lines, i))), "n_lines")
+    # The commonest line is the longest run among the sorted lines.
+    state = lambda last, run, top: F.struct(last.alias("last"), run.alias("run"), top.alias("top"))
+
+    def longer(a: Column, x: Column) -> Column:
+        run = F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(1))
+        return state(x, run, F.greatest(a["top"], run))
+
+    top_line = F.aggregate(F.array_sort(lines), state(F.lit(""), F.lit(0), F.lit(0)), longer, lambda a: a["top"])
     words = list(dict.fromkeys(COMMON_WORDS.split()))
     out = out.withColumns({
         "mean_word_len": over(F.col("_solid"), "n_words"),
@@ -87,7 +93,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "short_share": share(lambda x: x.rlike(_UP_TO_6) & ~x.rlike(r"[.!?]\s*$|\t|\S {3,}\S|\s\|\s|^\s*\||;\S+;|,\S+,")),
         "cell_share": share(lambda x: ~x.rlike(r"(?:\p{Ll}+ ){5}|[\p{Ll}\d)]\.\s.*\p{Ll}{3}") & x.rlike(_CELLS)),
         "distinct_line_share": over(F.size(F.array_distinct(lines)), "n_lines"),
-        "top_line_share": F.when(F.col("n_lines") >= 3, F.greatest(again(F.lit(1)), again((F.size(lines) / 2).cast("int")), again(F.lit(-1)))).otherwise(F.lit(0.0)),
+        "top_line_share": F.when(F.col("n_lines") >= 3, over(top_line, "n_lines")).otherwise(F.lit(0.0)),
         "words_per_line": over(F.col("n_words"), "n_lines"),
         "seps_per_word": over(F.col("separators"), "n_words"),
     })

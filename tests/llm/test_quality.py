@@ -22,6 +22,11 @@ def test_statistics(spark):
     assert s[6].separators == 2 and s[7].mean_word_len == 20000
 
 
+def test_top_line_is_the_commonest_line(spark):
+    s = stats(spark, ["head\nx\nmiddle\nx\nx\nfoot", "a\nb\nb\n\nb \nc\r\nc\nc", "a\nb\nc", "a\na", None, "x\n" * 9])
+    assert [round(s[i].top_line_share, 6) for i in range(6)] == [0.5, round(3 / 7, 6), round(1 / 3, 6), 0.0, 0.0, 1.0]
+
+
 def test_labels():
     assert [quality.label(t, "en") for t in (PROSE, LIST, TABLE, "a, b, c, d")] == ["prose", "list", "table", "list"]
     assert quality.label(PROSE, None) == "junk" and quality.label(None, None) == "junk"
