@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_CHARS = 50_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -37,8 +36,11 @@ def magic_ok(content: Column, suffix: Column) -> Column:
     return F.when(suffix == ".pdf", F.instr(head, "%PDF") > 0).when(suffix == ".docx", F.hex(F.substring(content, 1, 4)) == "504B0304").otherwise(F.lit(True))
 
 
-def read_documents(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(path, suffix, text, problem) of the files under a path; .txt, .md and .docx are read, .pdf needs a text layer made elsewhere."""
+def read_documents(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """(path, suffix, text, problem) of the files under a path; .txt, .md and .docx are read, .pdf needs a text layer made elsewhere.
+
+    Texts are whole, unless `max_chars` is given; a text that it cuts says so in `problem`.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     raw = raw.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))).withColumn("ok", magic_ok(F.col("content"), F.col("suffix")))
 
@@ -57,7 +59,9 @@ def read_documents(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -
                 else:
                     why = "unsupported suffix"
                 if t is not None:
-                    t = re.sub(r"\r\n?", "\n", t)[:max_chars]
+                    t = re.sub(r"\r\n?", "\n", t)
+                    if max_chars is not None and len(t) > max_chars:
+                        t, why = t[:max_chars], f"cut to {max_chars} of {len(t)} characters"
                 text.append(t)
                 problem.append(why)
             yield pd.DataFrame({"path": pdf.path, "suffix": pdf.suffix, "text": text, "problem": problem})

@@ -183,6 +183,14 @@ def test_runs(spark):
     assert tuple(runs.cost_rollup(e, "r", "e", "call", "c", "p", "$.k").first()) == (1, 2, 0.3, 5)
 
 
+def test_long_files_stay_whole(spark, tmp_path):
+    from sparkfolio.sources import read_documents
+
+    (tmp_path / "a.txt").write_text("x" * 60_000 + "end")
+    assert [(r.text[-3:], len(r.text), r.problem) for r in read_documents(spark, str(tmp_path)).collect()] == [("end", 60_003, None)]
+    assert [(r.text, r.problem) for r in read_documents(spark, str(tmp_path), max_chars=3).collect()] == [("xxx", "cut to 3 of 60003 characters")]
+
+
 def test_sources(spark, tmp_path):
     from sparkfolio.sources import read_cassettes, read_documents
 
