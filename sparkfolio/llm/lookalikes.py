@@ -10,6 +10,7 @@ once; every later grouping is by that key or finer and needs no further exchange
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +26,8 @@ LOOKALIKES = [
 ]
 #: Compatibility mappings that keep a character's look.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
-_LAST = 0xFFFF
+#: Where Unicode has characters that may be mapped: the first two planes, the compatibility ideographs, tags and variation selectors.
+_RANGES = (range(0x80, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000))
 #: Characters the mapping leaves alone unless a mark follows: ASCII, composed Latin letters, common punctuation.
 _STABLE = r" -~¡-§©-¬®¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƣƤ-ǀǍ-ǰǴ-ȳḀ-ẙẠ-ỹ–-—“-„†•‰‹›€™"
 
@@ -44,7 +46,7 @@ def targets_of(ch: str, pairs: dict[str, str] | None = None) -> str:
     cat = unicodedata.category(ch)
     if ch in "\t\n\r\x0b\x0c\x85" or cat in ("Zs", "Zl", "Zp"):
         return " "
-    if cat == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or ch in "͏ᅟᅠㅤ":
+    if cat == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF or ch in "͏ᅟᅠㅤ":
         return ""
     if ch in pairs:
         return pairs[ch]
@@ -64,8 +66,8 @@ def targets_of(ch: str, pairs: dict[str, str] | None = None) -> str:
 def _tables(spark: SparkSession):
     pairs = _lookalike_pairs()
     mapping, marks, composed = [], [], []
-    for cp in range(0x80, _LAST + 1):
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or 0x3400 <= cp <= 0x9FFF:
+    for cp in itertools.chain(*_RANGES):
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or 0x3400 <= cp <= 0x9FFF or 0x17000 <= cp <= 0x18CFF:
             continue
         ch = chr(cp)
         if (t := targets_of(ch, pairs)) != ch:

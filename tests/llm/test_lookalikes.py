@@ -19,6 +19,11 @@ def test_cases(spark):
     assert got[5] == "Převěl" and got[6] == "á" and got[7] == "ní" and got[8] == "x" * 50000 + "o"
 
 
+def test_characters_above_the_first_plane(spark):
+    got = forms(spark, ["\U0001d402\U0001d41a\U0001d42d \U0001d7d7", "c\U000e0001a\U000e0100t", "\U0002f800", "\U0001f600 x"])
+    assert got == {0: "Cat 9", 1: "cat", 2: "\u4e3d", 3: "\U0001f600 x"}
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(ALPHABET, max_size=14), min_size=20, max_size=60))
 def test_like_unicode(spark, texts):
