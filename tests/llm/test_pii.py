@@ -58,6 +58,12 @@ def test_hidden_characters_and_empty_texts(detector):
     assert found(detector, "") == set() and found(detector, "\n" * 5000) == set()
 
 
+@pytest.mark.parametrize("at", ["@", " at ", "[at]", "[AT]", " (AT) ", "{at}", "[ at ]", "[arroba]", "(arobase)", "(ZAVINAC)", "[zavináč]", "{ Arroba }"])
+def test_every_form_of_an_email_is_a_candidate(at):
+    text = f"jana.nova{at}mail.example"
+    assert ("email", 0, len(text)) in pii.spans_of(text)
+
+
 def test_fold_keeps_places():
     for t in ("Jаna Nováková", "a​b", "ﬁx ＡＢ", "plain"):
         f, place = pii.folded(t)
