@@ -3,9 +3,8 @@
 Every document of a source is expected to be used r times, r being the source's share of the total over
 its own tokens.  The expected copies are summed up along the source, one random offset is added, and a
 document comes out once for each whole number its step crosses: floor or ceil of r times, so never more than
-the cap.  Documents are summed in order of size, and the offset is the best of OFFSETS random ones, which
-keeps the tokens drawn close to the share even where one long document is a good part of it.  The prefix
-sum runs over cells (size class and hash, a bounded number per source) and then within each cell, so a
+the cap.  Documents are summed in order of size, so the tokens drawn miss the share by no more than about the
+longest document; the report tells the shares reached.  The prefix sum runs over cells (size class and hash, a bounded number per source) and then within each cell, so a
 source that holds most rows is never in one task.
 """
 
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .packing import TOKENIZER_FILE, _cut, token_counts
 
-OFFSETS = 48  # random offsets tried per source
 CELLS = 256  # hash cells per size class; size classes are eighths of a power of two
 
 
@@ -44,7 +42,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 42, total_
     documents stays unreached.  `targets` is a small fixed table (8 rows).
     """
     spark = documents.sparkSession
-    counts = _cut(token_counts(documents, path, keep=("source",)), "mix_counts")
+    counts = _cut(token_counts(documents, path, keep=("source",)))
     per = rates(counts, targets, total_tokens)
     if not per:
         return counts.where("false").select("doc_id", "source", "tokens", F.lit(1).alias("copy"))
@@ -57,14 +55,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 42, total_
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
     within = Window.partitionBy(*keys).orderBy("tokens", "doc_id")
     rows = rows.withColumn("rn", F.row_number().over(within)).join(cells, keys).select("doc_id", "source", "tokens", "rate", (F.col("before") + F.col("rn")).alias("at"))
-    copies = lambda offset: (F.floor(F.col("at") * F.col("rate") + offset) - F.floor((F.col("at") - 1) * F.col("rate") + offset)).cast("int")
+    # One random offset a source, the same in every run with the seed.
     rng = random.Random(seed)
-    offsets = [rng.random() for _ in range(OFFSETS)]
-    # Tokens drawn under each offset: one row a source comes back.
-    drawn = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("aim"), *[F.sum(copies(F.lit(o)) * F.col("tokens")).alias(f"o{i}") for i, o in enumerate(offsets)]).collect()
-    best = {r["source"]: offsets[min(range(OFFSETS), key=lambda i: (abs(r[f"o{i}"] - r["aim"]), i))] for r in drawn}
-    chosen = F.broadcast(spark.createDataFrame(sorted(best.items()), "source string, offset double"))
-    rows = rows.join(chosen, "source").withColumn("copies", copies(F.col("offset"))).where("copies > 0")
+    offset = F.create_map(*[x for source in sorted(per) for x in (F.lit(source), F.lit(rng.random()))])[F.col("source")]
+    copies = F.floor(F.col("at") * F.col("rate") + offset) - F.floor((F.col("at") - 1) * F.col("rate") + offset)
+    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
     return rows.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 

@@ -28,6 +28,53 @@ def test_near_the_least_number():
     assert len(out) <= 62
 
 
+def fewest(sizes, capacity):
+    """Brute force over all assignments."""
+    best = len(sizes)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= sizes[i]:
+                go(i + 1, rooms[:j] + [rooms[j] - sizes[i]] + rooms[j + 1:])
+        go(i + 1, rooms + [capacity - sizes[i]])
+
+    go(0, [])
+    return best
+
+
+def test_search_finds_the_least_number():
+    rng, better = random.Random(11), 0
+    for _ in range(120):
+        sizes = [rng.randint(15, 60) for _ in range(rng.randint(3, 9))]
+        want = fewest(sorted(sizes, reverse=True), 100)
+        assert packing.least_containers(sizes, 100) <= want
+        got = packing.pack(list(enumerate(sizes)), 100)
+        assert len(got) == want and sorted(x for c in got for x in c) == sorted(enumerate(sizes))
+        better += want < len(packing.best_fit(list(enumerate(sizes)), 100))
+    assert better  # best fit alone isn't enough
+
+
+def test_search_where_filling_each_fullest_is_wrong():
+    # The fullest filling beside 60 is 40, which leaves 39 + 39 + 39 with too little beside them.
+    sizes = [55, 45, 44, 30, 29, 28, 27, 21, 21]
+    assert len(packing.pack(list(enumerate(sizes)), 100)) == fewest(sizes, 100)
+    assert packing.search([60, 60, 60], 100, 3) is None and packing.search([50, 50], 100, 2) == [[50, 50]]
+    assert packing.search([55, 45, 44, 30, 29, 28, 27, 21, 21], 100, 4, nodes=0) is None
+
+
+def test_dominated():
+    assert packing.dominated([30], 10, {10: 1}, [10, 30])  # what fits beside
+    assert packing.dominated([30], 10, {38: 1}, [30, 38])  # in place of one
+    assert packing.dominated([30, 25], 5, {58: 1}, [25, 30, 58])  # in place of two
+    assert not packing.dominated([30, 25], 2, {20: 1, 33: 1}, [20, 25, 30, 33])
+
+
 def test_completion_finds_perfect_fillings():
     sizes = packing._Sizes([60, 50, 33, 26, 14, 7])
     assert sum(packing.complete(60, 40, sizes, 1000)) == 40  # 33 + 7, where the greedy choice finds it too
@@ -57,11 +104,11 @@ def docs(spark, rows):
 def test_pack_documents(spark):
     rng = random.Random(7)
     rows = [(i, "word " * rng.randint(1, 60), "a") for i in range(300)] + [(900, "word " * 1000, "a"), (901, None, "a"), (902, "", None), (1, "word", "a"), (None, "x", "a")]
-    limits = spark.createDataFrame([("small", 64), ("big", 256), (None, 3)], "container_kind string, capacity_tokens int")
+    limits = spark.createDataFrame([("small", 64), ("big", 256), ("big", 128), (None, 3)], "container_kind string, capacity_tokens int")
     out = packing.pack_documents(docs(spark, rows), limits).toPandas()
     size = {r.doc_id: r.tokens for r in packing.token_counts(docs(spark, rows)).collect()}
-    for kind, cap in (("small", 64), ("big", 256)):
-        o = out[out.container_kind == kind]
+    for kind, cap in (("small", 64), ("big", 256), ("big", 128)):
+        o = out[(out.container_kind == kind) & (out.capacity_tokens == cap)]
         assert o.groupby("container").tokens.sum().max() <= cap
         assert o.groupby("doc_id").tokens.sum().to_dict() == {k: v for k, v in size.items() if v}
         assert set(o[o.groupby("doc_id").part.transform("nunique") > 1].doc_id) == {k for k, v in size.items() if v > cap}
