@@ -13,18 +13,18 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import fold
 from .lookalikes import LOOKALIKES
 from .sampling import lowest_hashes
 
 LANGS = ["cs", "de", "en", "es", "fr", "sk"]
 ORDER = 5
 DISCOUNT = 0.75
-#: Bound of the training sample: labelled documents per language (lowest hash of their id first), and characters of each.
-DOCS_PER_LANG, CHARS_PER_DOC, HELD_OUT = 600, 4000, 8
+#: Bound of the training sample: labelled documents per language (lowest hash of their id first); every HELD_OUT-th calibrates.
+DOCS_PER_LANG, HELD_OUT = 600, 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 # Names of the languages as labels spell them, accents folded.
 LABEL_WORDS = {
@@ -217,25 +217,26 @@ def train(sample: pd.DataFrame) -> Models | NoModels:
     fit: dict[str, list[str]] = {k: [] for k in LANGS}
     held = []
     for i, (lang, text) in enumerate(zip(sample.lang, sample.text)):
-        c = clean(text[:CHARS_PER_DOC])
+        c = clean(text)
         if i % HELD_OUT == 0:
-            held.append((lang, text[:CHARS_PER_DOC]))
+            held.append((lang, text))
         elif lang in fit:
             # Texts without accents occur as well; they train the same language.
             fit[lang] += [c, strip_accents(c)]
     if not any(fit.values()):
         return NoModels()
     models = Models({k: v for k, v in fit.items() if v})
-    ents, right, noise, rng = [], [], [], np.random.default_rng(0)
+    right, parts, noise, rng = [], [], [], np.random.default_rng(0)
     for lang, text in held:
-        for part in [p for p in text.split("\n") if len(p) > 20][:4]:
-            e = models.entropy(clean(part))
-            if e is not None and lang in models.langs:
-                ents.append(e)
+        for part in text.split("\n"):
+            if len(part) > 20 and len(c := clean(part)) >= 3 and lang in models.langs:
                 right.append(models.langs.index(lang))
-                noise.append(models.entropy("".join(rng.permutation(list(clean(part))))).min())
-    if ents:
-        e, r = np.array(ents), np.array(right)
+                parts.append(c)
+                noise.append("".join(rng.permutation(list(c))))
+    if parts:
+        e = np.concatenate([models.entropies(x) for x in _chunks(parts)])
+        noise = np.concatenate([models.entropies(x) for x in _chunks(noise)]).min(1)
+        r = np.array(right)
         best, loss_at = 1.0, float("inf")
         for t in (2, 5, 10, 20, 40, 80):
             z = -e * t
@@ -249,9 +250,9 @@ def train(sample: pd.DataFrame) -> Models | NoModels:
 
 
 def training_sample(documents: DataFrame) -> pd.DataFrame:
-    """At most DOCS_PER_LANG labelled documents a language, each cut to CHARS_PER_DOC for training only."""
+    """At most DOCS_PER_LANG labelled documents a language, whole."""
     rows = lowest_hashes(documents, "doc_id", [(F.col("lang") == k, DOCS_PER_LANG) for k in LANGS])
-    rows = rows.where(F.length(F.trim("text")) >= 100).select("lang", F.substring("text", 1, CHARS_PER_DOC).alias("text"), F.xxhash64("doc_id").alias("h"))
+    rows = rows.where(F.length(F.trim("text")) >= 100).select("lang", "text", F.xxhash64("doc_id").alias("h"))
     return rows.toPandas().sort_values(["lang", "h"]).reset_index(drop=True)
 
 
@@ -307,9 +308,11 @@ def segment_languages(texts: DataFrame, documents: DataFrame, key: str = "cv_id"
     return rows.mapInPandas(run, "k long, block_no int, lang string, confidence double, entropy double, counted boolean").withColumnRenamed("k", key)
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def _label_array(label):
-    return sorted(label_set(label))
+def named_languages(label: Column) -> Column:
+    """label_set as built-in expressions: the sorted languages a label names; empty for null."""
+    words = F.create_map(*[x for w, k in _LABEL_OF.items() for x in (F.lit(w), F.lit(k))])
+    parts = F.split(F.regexp_replace(fold(label), r"[-_][a-z_-]*", ""), r"[^a-z]+")
+    return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, lambda p: F.try_element_at(words, p))))), F.array().cast("array<string>"))
 
 
 def language_repairs(cvs: DataFrame, fixtures: DataFrame, documents: DataFrame) -> DataFrame:
@@ -318,8 +321,8 @@ def language_repairs(cvs: DataFrame, fixtures: DataFrame, documents: DataFrame)
     per_cv = blocks.groupBy("cv_id").agg(F.collect_set("lang").alias("langs"), F.collect_list(F.struct("block_no", "lang")).alias("bs"))
     # One label a CV: redelivered rows are equal, so the least is the label.
     labels = fixtures.where("cv_id is not null").groupBy("cv_id").agg(F.min("source_language").alias("label"))
-    joined = per_cv.join(labels, "cv_id", "left").withColumn("named", F.when(F.col("label").isNotNull(), _label_array("label")).otherwise(F.array().cast("array<string>")))
+    joined = per_cv.join(labels, "cv_id", "left").withColumn("named", named_languages(F.col("label")))
     # One row a case: each counted block of a mixed CV, or one for the CV.  One pass over the scored blocks serves both.
     whole = F.array(F.struct(F.lit(0).alias("block_no"), F.element_at("langs", 1).alias("lang")))
-    cases = F.when(F.size("langs") >= 2, F.col("bs")).when(F.array_sort("named") != F.array_sort("langs"), whole)
+    cases = F.when(F.size("langs") >= 2, F.col("bs")).when(F.col("named") != F.array_sort("langs"), whole)
     return joined.select("cv_id", F.explode(cases).alias("b")).select("cv_id", F.col("b.block_no").cast("int").alias("block_no"), "b.lang").distinct()

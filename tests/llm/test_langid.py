@@ -23,6 +23,15 @@ def test_label_sets():
     assert langid.label_set("unknown") == langid.label_set(None) == langid.label_set("") == frozenset()
 
 
+LABELS = ["cz+EN", "fr-FR, German", "unknown", None, "", "Čeština / Slovak", "de_AT;es", "_cs", "cs - en", "EN", "Español", "cs,cs", "Französisch"]
+
+
+def test_label_columns(spark):
+    df = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    got = [r.n for r in df.select(langid.named_languages(df.label).alias("n")).collect()]
+    assert got == [sorted(langid.label_set(x)) for x in LABELS]
+
+
 def test_classes_and_rejection(models):
     for k, v in SAMPLES.items():
         assert models.classify(" ".join(v.split()[3:12]))[0] == k
