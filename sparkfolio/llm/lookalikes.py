@@ -16,13 +16,27 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Letters of other scripts that look like Latin ones, as "letters=Latin letters".
+# Letters of other scripts that look like Latin ones, as "letters=Latin letters", by script.
 LOOKALIKES = [
-    "аеорсухіјѕԁԛԝһӏ=aeopcyxijsdqwhl",
-    "АВЕКМНОРСТХІЈЅУԚԜҺ=ABEKMHOPCTXIJSYQWH",
+    # Cyrillic
+    "аеорсухіјѕԁԛԝһӏѵ=aeopcyxijsdqwhlv",
+    "АВЕКМНОРСТХІЈЅУԚԜҺѴӀ=ABEKMHOPCTXIJSYQWHVI",
+    # Greek
     "νοριαϲϳυ=vopiacju",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ=ABEZHIKMNOPTYX",
-    "ɑɡℓ‐‑⁃−‒ʼ‛=agl-----''",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ=ABEZHIKMNOPTYXCJ",
+    # Armenian
+    "օսհցզոք=ouhgqnp",
+    "ՕՍՏԼ=OUSL",
+    # Cherokee
+    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎥᎡᏔᎽ=ABCDEGHJKLMPRSTVWZiRWY",
+    # Lisu
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ=BPDTGKJCZFMNLSRVHWXYAEIOU",
+    # Coptic
+    "ⲟⲣⲥⲭⲟ=opcxo",
+    "ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ=ABEHIKMNOPCTYX",
+    # phonetic letters, small capitals of the same shape, dashes and apostrophes
+    "ɑɡℓᴄᴏᴠᴡᴢ=aglcovwz",
+    "‐‑⁃−‒ʼ‛ʹ=-----'''",
 ]
 #: Compatibility mappings that keep a character's look.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")

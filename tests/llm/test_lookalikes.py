@@ -24,6 +24,11 @@ def test_characters_above_the_first_plane(spark):
     assert got == {0: "Cat 9", 1: "cat", 2: "\u4e3d", 3: "\U0001f600 x"}
 
 
+def test_other_scripts(spark):
+    got = forms(spark, ["\u13aa\u13e2 \ua4d0\ua4f3 \u0585\u057d \u2c9f ᴄ", "\u13a0ata"])
+    assert got == {0: "AP BO ou o c", 1: "Data"}
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(ALPHABET, max_size=14), min_size=20, max_size=60))
 def test_like_unicode(spark, texts):
