@@ -147,23 +147,47 @@ class Matcher:
                 for p in paths_of(n):
                     self.trie.add(p, occupation)
 
-    def match(self, value: str) -> tuple[int, int]:
-        """(role_id, distance); (0, -1) if no entry fits."""
+    def all_within(self, value: str) -> dict[int, int]:
+        """Every entry whose occupation is within the core's distance, in the value's band -> least distance."""
         core, band = core_of(value)
-        best = None
+        found: dict[str, int] = {}
         for candidate in dict.fromkeys([core, core.replace(" ", "")]):
-            found = self.trie.search(candidate, allowed(len(candidate))) if candidate else {}
-            for occupation, d in found.items():
-                # Ties go to the lexically first occupation.
-                if best is None or (d, occupation) < best:
-                    best = (d, occupation)
-        if best is None:
-            return 0, -1
-        d, occupation = best
+            for occupation, d in self.trie.search(candidate, allowed(len(candidate))).items() if candidate else ():
+                found[occupation] = min(d, found.get(occupation, d))
+        return {self._entry(o, band): d for o, d in sorted(found.items(), key=lambda x: (-x[1], x[0]))}
+
+    def _entry(self, occupation: str, band: str | None) -> int:
         if occupation in self.fixed:
-            return self.fixed[occupation], d
+            return self.fixed[occupation]
         bands = self.by_band[occupation]
-        return bands.get(band or "mid", bands.get("mid", min(bands.values()))), d
+        return bands.get(band or "mid", bands.get("mid", min(bands.values())))
+
+    def match(self, value: str) -> tuple[int, int]:
+        """(role_id, distance) of the closest entry; (0, -1) if none fits.  Ties go to the lexically first occupation.
+
+        The automaton's limit rises from none to the distance allowed, so that most values end after one walk.
+        """
+        core, band = core_of(value)
+        candidates = [c for c in dict.fromkeys([core, core.replace(" ", "")]) if c]
+        for limit in range(max((allowed(len(c)) for c in candidates), default=-1) + 1):
+            hits = [(d, o) for c in candidates if limit <= allowed(len(c)) for o, d in self.trie.search(c, limit).items()]
+            if hits:
+                d, occupation = min(hits)
+                return self._entry(occupation, band), d
+        return 0, -1
+
+
+_NOT_BLANK = "regexp_replace(detected_role, '[\\\\s\\u00a0]', '') <> ''"
+#: Most entries of a reference list, which goes to every worker as one trie.
+MOST_ENTRIES = 100_000
+
+
+def _listed(roles: DataFrame) -> list[tuple]:
+    rows = roles.select("role_id", "canonical_role", "seniority_band", "is_management", "title_cs").dropna(subset=["role_id", "canonical_role"]).distinct()
+    listed = [tuple(r) for r in rows.orderBy("role_id", "canonical_role").limit(MOST_ENTRIES + 1).collect()]
+    if len(listed) > MOST_ENTRIES:
+        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
+    return listed
 
 
 def match_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:
@@ -173,7 +197,7 @@ def match_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:
     blank values give no row; spellings are matched once each and joined back, so a spelling that many rows
     share costs one match.
     """
-    listed = [tuple(r) for r in roles.select("role_id", "canonical_role", "seniority_band", "is_management", "title_cs").dropna(subset=["role_id", "canonical_role"]).orderBy("role_id").collect()]
+    listed = _listed(roles)
 
     def run(batches):
         m = Matcher(listed)
@@ -181,7 +205,7 @@ def match_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:
             hits = [m.match(v) for v in pdf.spelling]
             yield pd.DataFrame({"spelling": pdf.spelling, "role_id": [h[0] for h in hits], "distance": [h[1] for h in hits]})
 
-    rows = detected.where(F.col("cv_id").isNotNull() & (F.regexp_replace("detected_role", r"[\s ]", "") != "")).select("cv_id", F.col("detected_role").alias("spelling")).distinct()
+    rows = detected.where("cv_id is not null").where(_NOT_BLANK).select("cv_id", F.col("detected_role").alias("spelling")).distinct()
     n = max(int(detected.sparkSession.conf.get("spark.sql.shuffle.partitions")), detected.sparkSession.sparkContext.defaultParallelism)
     # Round robin after the distinct: a keyed repartition would fall together with its exchange and be coalesced into one task.
     spellings = rows.select("spelling").distinct().repartition(n)
@@ -193,6 +217,24 @@ def match_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:
     return left.join(right, ["spelling", "salt"]).select("cv_id", "role_id", "distance")
 
 
+def all_matches(detected: DataFrame, roles: DataFrame) -> DataFrame:
+    """(detected_role, role_id, distance): per distinct spelling every entry within its distance; role_id 0 and distance -1 if none is.
+
+    Null and blank values give no row.
+    """
+    listed = _listed(roles)
+
+    def run(batches):
+        m = Matcher(listed)
+        for pdf in batches:
+            out = [(v, e, d) for v in pdf.detected_role for e, d in (m.all_within(v) or {0: -1}).items()]
+            yield pd.DataFrame(out, columns=["detected_role", "role_id", "distance"])
+
+    n = max(int(detected.sparkSession.conf.get("spark.sql.shuffle.partitions")), detected.sparkSession.sparkContext.defaultParallelism)
+    spellings = detected.where(_NOT_BLANK).select("detected_role").distinct().repartition(n)
+    return spellings.mapInPandas(run, "detected_role string, role_id int, distance int")
+
+
 def found_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:
     """p7: (cv_id, role_id)."""
     return match_roles(detected, roles).select("cv_id", F.col("role_id").cast("int")).distinct()

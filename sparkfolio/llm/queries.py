@@ -30,6 +30,10 @@ def _p7_found(spark, d):
     return canonical.found_roles(table(spark, d, "detected"), table(spark, d, "role_list"))
 
 
+def _p7_matches(spark, d):
+    return canonical.all_matches(table(spark, d, "detected"), table(spark, d, "role_list"))
+
+
 def _p8_containers(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_limits"))
 
@@ -56,7 +60,7 @@ def _p10_statistics(spark, d):
 
 def queries():
     return {
-        "p1_found": _p1_found, "p1_redacted": _p1_redacted, "p2_found": _p2_found, "p2_segments": _p2_segments, "p6_found": _p6_found, "p7_found": _p7_found,
+        "p1_found": _p1_found, "p1_redacted": _p1_redacted, "p2_found": _p2_found, "p2_segments": _p2_segments, "p6_found": _p6_found, "p7_found": _p7_found, "p7_matches": _p7_matches,
         "p8_containers": _p8_containers, "p8_report": _p8_report, "p9_selection": _p9_selection, "p9_report": _p9_report, "p10_found": _p10_found, "p10_statistics": _p10_statistics,
     }
 

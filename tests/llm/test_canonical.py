@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sparkfolio.llm.canonical import Matcher, Trie, allowed, core_of, found_roles
+from sparkfolio.llm.canonical import Matcher, Trie, all_matches, allowed, core_of, found_roles
 
 ROLES = [(1, "junior data analyst", "junior", False, "junior datový analytik"), (2, "data analyst", "mid", False, "datový analytik"), (3, "senior data analyst", "senior", False, "senior datový analytik"), (4, "staff data analyst", "staff", False, "staff datový analytik"), (5, "machine learning engineer", "mid", False, "inženýr strojového učení"), (6, "head of analytics", "head", True, "vedoucí analytiky")]
 
@@ -48,3 +48,29 @@ def test_operator(spark):
     got = {tuple(r) for r in found_roles(df, roles).collect()}
     assert got == {(i, 2) for i in range(300)} | {(902, 0)}
     assert found_roles(df.where("false"), roles).count() == 0
+
+
+def test_all_entries_within_the_distance(spark):
+    """Every entry, against the distance to every path; role 0 where none is near."""
+    m = Matcher(ROLES)
+    values = ["data analyst", "dta anlyst", "head of analytic", "ml engineer", "gardener", "Sr data analsyt"]
+    for v in values:
+        core = core_of(v)[0]
+        want = {}
+
+        def walk(node, path):
+            for occupation in node[1]:
+                for c in {core, core.replace(" ", "")}:
+                    if (d := distance(c, path)) <= allowed(len(c)):
+                        want[occupation] = min(d, want.get(occupation, 99))
+            for ch, child in node[0].items():
+                walk(child, path + ch)
+
+        walk(m.trie.root, "")
+        assert m.all_within(v) == {m._entry(o, core_of(v)[1]): d for o, d in want.items()}
+        assert m.match(v)[1] == min(want.values(), default=-1)
+    roles = spark.createDataFrame(ROLES, "role_id int, canonical_role string, seniority_band string, is_management boolean, title_cs string")
+    df = spark.createDataFrame([(v,) for v in values + [None, " ", "gardener"]], "detected_role string")
+    got = {(r.detected_role, r.role_id, r.distance) for r in all_matches(df, roles).collect()}
+    assert got == {(v, e, d) for v in values for e, d in (m.all_within(v) or {0: -1}).items()}
+    assert all_matches(df.where("false"), roles).count() == 0
