@@ -53,9 +53,10 @@ ZONE_MINUTES = {
 
 TODAY_MONTH = 24316
 DEFAULT_ZONE = "Europe/Prague"
-#: Positions in a block, and record ids in a page of blocks.
-BLOCK, PAGE = 256, 20_000
-RULE_COST, SWITCH_COST, BACKWARD_COST = 12.0, 1.0, 2.0
+#: Positions in a block, record ids in a page of blocks, and pages whose blocks make a reach (as a power of two).
+BLOCK, PAGE, REACH = 256, 20_000, 6
+#: Reading a slashed date against its zone's order outweighs any path; of other numbers no rule speaks, and day first is only preferred.
+RULE_COST, ORDER_COST, SWITCH_COST, BACKWARD_COST = 12.0, 0.5, 1.0, 2.0
 
 _MONTH_OF = {w: i + 1 for i, line in enumerate(MONTH_WORDS) for w in line.split()}
 _MON = r"(?P<mon>" + "|".join(sorted(_MONTH_OF, key=len, reverse=True)) + r")(?![a-z])\.?"
@@ -160,7 +161,7 @@ def _readings(name: str, m: re.Match, tz: str | None) -> list[tuple[str, str, fl
     else:
         month_day = [(int(g["m"]) if g.get("m") else None, g.get("d"), name, 0.0)]
         if name == "dmy_dash":
-            month_day.append((int(g["d"]), g["m"], "mdy_dash", RULE_COST))
+            month_day.append((int(g["d"]), g["m"], "mdy_dash", ORDER_COST))
     out = []
     for mo, d, fmt, cost in month_day:
         if mo is None:
@@ -333,22 +334,43 @@ def _as_tuples(c: str) -> list[tuple]:
     return [tuple(x) for x in json.loads(c)]
 
 
+def _summaries(pdf: pd.DataFrame) -> list[tuple[list, list, list]]:
+    """(readings of the first record, of the last, cost matrix between them) of each block, in order."""
+    out = []
+    for t, a, b in zip(pdf.first_cost, pdf.first_cands, pdf.last_cands):
+        a, b = _as_tuples(a), _as_tuples(b)
+        out.append((a, b, [list(t[i * len(b): (i + 1) * len(b)]) for i in range(len(a))]))
+    return out
+
+
+def _multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of a reach -> one summary of it all."""
+    pdf = pdf.sort_values("block")
+    blocks = _summaries(pdf)
+    first, last, cost = blocks[0]
+    for a, b, t in blocks[1:]:
+        enter = [[min(row[j] + step_cost(p, c) for j, p in enumerate(last)) for c in a] for row in cost]
+        cost = [[min(row[i] + t[i][j] for i in range(len(a))) for j in range(len(b))] for row in enter]
+        last = b
+    row = (pdf.source.iloc[0], pdf.reach.iloc[0], [x for r in cost for x in r], json.dumps(first), json.dumps(last))
+    return pd.DataFrame([row], columns=["source", "block", "first_cost", "first_cands", "last_cands"])
+
+
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All block summaries of one source -> the readings its blocks must begin and end with."""
+    """Summaries of one source or reach -> the readings each must begin and end with; the reach's own ends are fixed where given."""
     pdf = pdf.sort_values("block")
-    firsts = [_as_tuples(c) for c in pdf.first_cands]
-    lasts = [_as_tuples(c) for c in pdf.last_cands]
-    tables = [[list(t[i * len(b): (i + 1) * len(b)]) for i in range(len(a))] for t, a, b in zip(pdf.first_cost, firsts, lasts)]
+    blocks = _summaries(pdf)
+    ends = [None if pd.isna(x) else int(x) for x in (pdf.begin.iloc[0], pdf.finish.iloc[0])]
     cost, back = None, []
-    for k, (a, b, t) in enumerate(zip(firsts, lasts, tables)):
+    for k, (a, b, t) in enumerate(blocks):
         if cost is None:
-            enter = [(0.0, 0)] * len(a)
+            enter = [(0.0 if ends[0] in (None, i) else float("inf"), 0) for i in range(len(a))]
         else:
-            enter = [min((cost[j] + step_cost(p, c), j) for j, p in enumerate(lasts[k - 1])) for c in a]
+            enter = [min((cost[j] + step_cost(p, c), j) for j, p in enumerate(blocks[k - 1][1])) for c in a]
         best = [min((enter[i][0] + t[i][j], i) for i in range(len(a))) for j in range(len(b))]
         cost = [x[0] for x in best]
         back.append([(x[1], enter[x[1]][1]) for x in best])
-    at, picks = min(range(len(cost)), key=lambda j: (cost[j], j)), []
+    at, picks = min(range(len(cost)), key=lambda j: (cost[j], j)) if ends[1] is None else ends[1], []
     for b in reversed(back):
         first, before = b[at]
         picks.append((first, at))
@@ -363,12 +385,14 @@ def _decode_blocks(batches):
         for ids, cands, a, b in zip(pdf.ids, pdf.cands, pdf.first_pick, pdf.last_pick):
             c = json.loads(cands)
             path = decode(c, None if pd.isna(a) else int(a), None if pd.isna(b) else int(b))
-            out += [(int(i), x[p][0], x[p][1], x[p][2]) for i, x, p in zip(ids, c, path)]
-        yield pd.DataFrame(out, columns=["record_id", "start_norm", "end_norm", "format"])
+            out += [(int(i), x[p][0], x[p][1], x[p][2], len(x), p > 0) for i, x, p in zip(ids, c, path)]
+        yield pd.DataFrame(out, columns=["record_id", "start_norm", "end_norm", "format", "readings", "by_path"])
 
 
 def normalise_dates(df: DataFrame, record_id="entry_id", source="cv_id", order="pos", raw="dates_raw", tz="tz", is_current="is_current") -> DataFrame:
-    """(record_id, start_norm, end_norm, format) of each record with a readable date.
+    """(record_id, start_norm, end_norm, format, readings, by_path) of each record with a readable date.
+
+    readings: how many the value has; by_path: the source's order chose another than the one cheapest alone.
 
     Null or unreadable values give no row; a null zone means DEFAULT_ZONE; a null `is_current` counts as
     false; repeated rows of a record count once; a null source is a group of its own, a null order comes last.  Other
@@ -400,10 +424,17 @@ def normalise_dates(df: DataFrame, record_id="entry_id", source="cv_id", order="
     span = df.where(F.col(record_id).isNotNull()).select(F.col(source).cast("string").alias("long_source"), (pages * (1 << 20) + places).alias("b"))
     long_sources = span.groupBy("long_source").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("long_source")
     long_rows = rows.join(long_sources, F.col("source") == F.col("long_source"), "left_semi")
-    summary = packed(long_rows).select("source", "block", "first_cost", "first_cands", "last_cands")
-    picks = summary.groupBy("source").applyInPandas(_chain, "source string, block long, first_pick int, last_pick int")
+    # Blocks of consecutive pages make a reach; first the reaches of a source are chained, then the blocks of each between its ends.
+    reach = F.shiftright(F.col("block"), 20 + REACH)
+    summary = packed(long_rows).select("source", "block", reach.alias("reach"), "first_cost", "first_cands", "last_cands")
+    free = [F.lit(None).cast("int").alias(c) for c in ("begin", "finish")]
+    pick = "source string, block long, first_pick int, last_pick int"
+    reaches = summary.groupBy("source", "reach").applyInPandas(_multiply, "source string, block long, first_cost array<double>, first_cands string, last_cands string")
+    ends = reaches.select("*", *free).groupBy("source").applyInPandas(_chain, pick)
+    ends = ends.select(F.col("source"), F.col("block").alias("reach"), F.col("first_pick").alias("begin"), F.col("last_pick").alias("finish"))
+    picks = summary.join(ends, ["source", "reach"]).groupBy("source", "reach").applyInPandas(_chain, pick)
     return packed(rows).select("source", "block", "ids", "cands").join(picks, ["source", "block"], "left").mapInPandas(
-        _decode_blocks, "record_id long, start_norm string, end_norm string, format string"
+        _decode_blocks, "record_id long, start_norm string, end_norm string, format string, readings int, by_path boolean"
     )
 
 
@@ -421,3 +452,9 @@ def local_month(norm: str | None, tz: str | None) -> int | None:
 def entry_dates(entries: DataFrame) -> DataFrame:
     """The employer entries' dates: (entry_id, start_norm, end_norm)."""
     return normalise_dates(entries).select(F.col("record_id").alias("entry_id"), "start_norm", "end_norm")
+
+
+def reading_decisions(entries: DataFrame) -> DataFrame:
+    """(decided_by, n): how many dates had one reading, the cheapest of several alone, or another that their source's order chose."""
+    by = F.when(F.col("readings") == 1, "one reading").when(F.col("by_path"), "order of the source").otherwise("cheapest alone")
+    return normalise_dates(entries).groupBy(by.alias("decided_by")).agg(F.count("*").alias("n"))

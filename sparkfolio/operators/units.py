@@ -1,12 +1,14 @@
 """Quantities in different units and scales -> one common unit.
 
-A value's unit comes from its text where stated, else from its record's market.  What neither states is
-settled by the source's history: every source (a query text) keeps, per day, the count, sum and sum of
-squares of its log values; an exact penalised changepoint search over these cuts the history into level
-segments, and a level shift that matches a known factor marks a unit change, reversed for values whose
-unit is unknown.  Values of known and of unknown unit are cut apart, so that mixed days blur neither; the
-known ones give the level that the unknown ones are compared with.  The history is pre-aggregated per day
-before any shuffle, so a hot source costs as many rows as it has days.
+A value's unit comes from its text where stated.  For all others the source's history speaks: every source
+(a query text) keeps, per day, the count, sum and sum of squares of its log values; an exact penalised
+changepoint search over these cuts the history into level segments, and a level shift that matches a known
+factor marks a unit change.  Values whose text states all, values filled from the market by what was filled,
+and values of unknown unit are cut apart, so that mixed days blur none; the stated ones give the level.  A
+segment of unknown unit takes the unit whose shift is nearest.  A segment filled from the market keeps the
+market's unit unless it lies off the level by a known factor beyond all doubt (DOUBT standard errors), which a
+wrong or changed market unit does; then the change is reversed.  The history is pre-aggregated per day before
+any shuffle, so a hot source costs as many rows as it has days.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,8 @@ SCALES = {
 KNOWN_FACTORS = {"thousand": 1e3, "million": 1e6, "month/year": 12.0, "week/year": 52.0, "day/year": 260.0, "hour/year": 2080.0}
 FACTOR_TOLERANCE = 0.15
 PENALTY = 8.0
+#: Standard errors by which a segment filled from the market must be off before its history overrules the market, and the fewest values on either side.
+DOUBT, LEAST_VALUES = 6.0, 5
 
 _PERIOD_OF = {w: p for p, words in PERIOD_WORDS.items() for w in words}
 _SCALE_OF = {w: f for f, words in SCALES.items() for w in words }
@@ -187,20 +192,21 @@ def _parse_batches(per_year: dict, per_eur: dict):
                 period = per or clean_period(mp) or (cp if isinstance(cp, str) else None)
                 no_period, no_currency = period not in per_year, currency not in per_eur
                 rate = per_year.get(period, 1) / per_eur.get(currency, 1.0)
-                out.append((rid, src, at, low, high, rate, not (no_period or no_currency), no_period, no_currency, per is None, cur is None))
-            yield pd.DataFrame(out, columns=["record_id", "source", "day", "low", "high", "rate", "known", "no_period", "no_currency", "period_filled", "currency_filled"])
+                # What the text leaves open is named by what the market filled it with; '?' where it has nothing.
+                filled = ["" if stated else "?" if nothing else unit for stated, nothing, unit in ((per, no_period, period), (cur, no_currency, currency))]
+                out.append((rid, src, at, low, high, rate, *filled))
+            yield pd.DataFrame(out, columns=["record_id", "source", "day", "low", "high", "rate", "period_from", "currency_from"])
 
     return run
 
 
-def read_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame, without_market: bool = False) -> DataFrame:
+def read_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
     """Stated pay of each result with the rate to euros a year: one row a result that states pay.
 
-    With `without_market` only the results whose market the reference table lacks, the only ones that may
-    have an unknown unit.
+    period_from and currency_from: '' where the text states it, the market's unit where that fills it, '?' where
+    neither does (the rate then leaves it out).
     `fx` and `periods` are small fixed tables (13 and 5 rows; they don't grow) and go to the workers as
-    dictionaries.  Null or empty bodies give no row; repeated results count once; a result without a
-    market and with an unstated unit is kept with known = false.
+    dictionaries.  Null or empty bodies give no row; repeated results count once.
     """
     per_eur = {r[0]: float(r[1]) for r in fx.select("currency", "units_per_eur").dropna().collect()}
     per_year = {r[0]: int(r[1]) for r in periods.select("pay_period", "per_year").dropna().collect()}
@@ -210,13 +216,11 @@ def read_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: Da
     spec = spec.select("cv_id", "m.country", F.col("m.currency").alias("m_currency"), F.col("m.pay_period").alias("m_period")).join(F.broadcast(ref), "country", "left")
     rows = results.where("body is not null and body <> ''").select("cv_id", F.col("result_id").alias("record_id"), F.col("query_text").alias("source"), F.to_date("fetched_at").alias("day"), "body")
     rows = rows.join(spec.drop("country"), "cv_id", "left")
-    if without_market:
-        rows = rows.where("c_currency is null or c_period is null")
     n = max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), results.sparkSession.sparkContext.defaultParallelism)
     # Redelivered results meet on the record; this exchange also spreads the parsing.
     rows = rows.drop("cv_id").repartition(n, "record_id")
     return rows.mapInPandas(
-        _parse_batches(per_year, per_eur), "record_id long, source string, day date, low double, high double, rate double, known boolean, no_period boolean, no_currency boolean, period_filled boolean, currency_filled boolean"
+        _parse_batches(per_year, per_eur), "record_id long, source string, day date, low double, high double, rate double, period_from string, currency_from string"
     ).dropDuplicates(["record_id"])
 
 
@@ -255,56 +259,96 @@ def match_factor(shift: float) -> tuple[str, float] | None:
     return (name, math.copysign(math.log(f), shift)) if abs(abs(shift) - math.log(f)) <= FACTOR_TOLERANCE else None
 
 
-def _levels(pdf: pd.DataFrame) -> tuple[list[tuple[int, int, float]], float]:
+def _levels(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[list[tuple[int, int, float]], float]:
     """The level segments of daily sums in order of the day, and the level of the largest."""
-    found = segment(pdf.n.to_numpy(float), pdf.s.to_numpy(float), pdf.q.to_numpy(float))
-    return found, max(found, key=lambda x: (float(pdf.n.iloc[x[0]: x[1]].sum()), -x[0]))[2]
+    found = segment(n, s, q)
+    return found, max(found, key=lambda x: (float(n[x[0]: x[1]].sum()), -x[0]))[2]
 
 
-def _segments(pdf: pd.DataFrame) -> pd.DataFrame:
+def _per_source(work, columns: list[str]):
+    """mapInPandas over rows sorted by source: `work` gets one source's columns as arrays and gives rows."""
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            source = pdf.source.to_numpy()
+            starts = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist()]
+            # The batch may end within a source.
+            held = pdf.iloc[starts[-1]:]
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            out = [row for a, b in zip(starts, starts[1:]) for row in work({c: v[a:b] for c, v in cols.items()})]
+            yield pd.DataFrame(out, columns=columns)
+        if held is not None and len(held):
+            yield pd.DataFrame(work({c: held[c].to_numpy() for c in held.columns}), columns=columns)
+
+    return run
+
+
+def _segments(g: dict) -> list[tuple]:
     """One source's daily sums -> its level segments, the largest being the reference level."""
-    pdf = pdf.sort_values("day").reset_index(drop=True)
-    found, base = _levels(pdf)
+    n = g["n"].astype(float)
+    found, base = _levels(n, g["s"], g["q"])
     out = []
     for a, b, level in found:
         hit = match_factor(level - base)
-        out.append((pdf.source.iloc[0], pdf.day.iloc[a], pdf.day.iloc[b - 1], int(pdf.n.iloc[a:b].sum()), level, hit[0] if hit else None, hit[1] if hit else 0.0))
-    return pd.DataFrame(out, columns=["source", "first_day", "last_day", "n", "level", "unit_change", "log_factor"])
-
+        out.append((g["source"][0], g["day"][a], g["day"][b - 1], int(n[a:b].sum()), level, hit[0] if hit else None, hit[1] if hit else 0.0))
+    return out
 
-def unit_shifts(no_period: bool, no_currency: bool, per_year: dict, per_eur: dict) -> list[float]:
-    """The log shifts that values show against euros a year, by what isn't known of their unit; any scale may be left out."""
-    periods = per_year.values() if no_period else [1]
-    currencies = per_eur.values() if no_currency else [1.0]
-    return [math.log(c) - math.log(p) - math.log(f) for f, p, c in itertools.product((1.0, KNOWN_FACTORS["thousand"], KNOWN_FACTORS["million"]), periods, currencies)]
 
+def unit_shifts(period: str, currency: str, per_year: dict, per_eur: dict) -> list[float]:
+    """The log shifts that values may show against their source's level, by what was filled or left out of their unit.
 
-def _unknown_segments(per_year: dict, per_eur: dict):
-    """One source's daily sums of known and unknown values -> the shift of each level segment of the unknown ones."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        out, known = [], pdf[pdf.known]
-        base = _levels(known)[1] if len(known) else None
-        for (no_period, no_currency), part in pdf[~pdf.known].groupby(["no_period", "no_currency"]):
-            found, own = _levels(part)
-            shifts = unit_shifts(no_period, no_currency, per_year, per_eur)
+    A missing scale word shows in either case.  A filled period may stand for another; what is unknown is any.
+    """
+    log = lambda table, unit: math.log(table[unit]) if unit in table else 0.0
+    periods = [log(per_year, period) - math.log(p) for p in per_year.values()] if period else [0.0]
+    currencies = [math.log(c) for c in per_eur.values()] if currency == "?" else [0.0]
+    return [c + p - math.log(f) for f, p, c in itertools.product((1.0, KNOWN_FACTORS["thousand"], KNOWN_FACTORS["million"]), periods, currencies)]
+
+
+def _open_segments(per_year: dict, per_eur: dict):
+    """One source's daily sums of stated, filled and unknown values -> the shift of each level segment of the latter two."""
+
+    def work(g: dict) -> list[tuple]:
+        n, s, q, day = g["n"].astype(float), g["s"], g["q"], g["day"]
+        kinds = list(zip(g["period_from"], g["currency_from"]))
+        parts = {k: np.array([x == k for x in kinds]) for k in dict.fromkeys(kinds)}
+        known = parts.pop(("", ""), None)
+        out, base, count, spread = [], None, 0.0, 0.0
+        if parts and known is not None:
+            base = _levels(n[known], s[known], q[known])[1]
+            count = float(n[known].sum())
+            spread = max(0.0, float(q[known].sum()) - float(s[known].sum()) ** 2 / count) / max(1.0, count - 1)
+        for (period, currency), m in parts.items():
+            pn, ps, pq, pday = n[m], s[m], q[m], day[m]
+            found, own = _levels(pn, ps, pq)
+            shifts = unit_shifts(period, currency, per_year, per_eur)
             for a, b, level in found:
-                if base is None:  # only other unknown values to compare with
-                    hit = match_factor(level - own)
+                values = float(pn[a:b].sum())
+                if base is None:  # only other open values to compare with; the market's unit stands
+                    hit = match_factor(level - own) if "?" in (period, currency) else None
                     factor = hit[1] if hit else 0.0
                 else:
                     near = min(shifts, key=lambda x: abs(level - base - x))
                     factor = near if abs(level - base - near) <= FACTOR_TOLERANCE else 0.0
-                out.append((part.source.iloc[0], no_period, no_currency, part.day.iloc[a], part.day.iloc[b - 1], factor))
-        return pd.DataFrame(out, columns=["source", "no_period", "no_currency", "first_day", "last_day", "log_factor"])
+                    if factor and "?" not in (period, currency):
+                        inside = max(0.0, float(pq[a:b].sum()) - values * level * level) / max(1.0, values - 1)
+                        error = math.sqrt(spread / count + inside / values)
+                        if min(count, values) < LEAST_VALUES or abs(factor) < DOUBT * error:
+                            factor = 0.0
+                out.append((g["source"][0], period, currency, pday[a], pday[b - 1], factor))
+        return out
 
-    return run
+    return _per_source(work, ["source", "period_from", "currency_from", "first_day", "last_day", "log_factor"])
 
 
 def _daily(values: DataFrame, *keys: str) -> DataFrame:
     rows = values.where("source is not null and day is not null and v > 0")
-    return rows.groupBy("source", "day", *keys).agg(F.count("*").alias("n"), F.sum(F.log("v")).alias("s"), F.sum(F.log("v") * F.log("v")).alias("q"))
+    daily = rows.groupBy("source", "day", *keys).agg(F.count("*").alias("n"), F.sum(F.log("v")).alias("s"), F.sum(F.log("v") * F.log("v")).alias("q"))
+    # A source's history is as long as its days, however many rows it has.
+    return daily.repartition("source").sortWithinPartitions("source", "day", *keys)
 
 
 def unit_segments(values: DataFrame) -> DataFrame:
@@ -312,33 +356,50 @@ def unit_segments(values: DataFrame) -> DataFrame:
 
     values: source, day, v (> 0).  Null sources or days and values that aren't positive count for nothing.
     """
-    return _daily(values).groupBy("source").applyInPandas(_segments, "source string, first_day date, last_day date, n long, level double, unit_change string, log_factor double")
+    columns = "source string, first_day date, last_day date, n long, level double, unit_change string, log_factor double"
+    return _daily(values).mapInPandas(_per_source(_segments, [c.split()[0] for c in columns.split(", ")]), columns)
 
 
-def yearly_euros(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
-    """p4: (result_id, low_eur_year, high_eur_year); unknown units take their segment's unit change reversed.
+#: Salts over which the rows of one source are spread when its shifts are joined to them.
+SALTS = 16
+
 
-    The history of a source that has unknown values is all its pay; other sources' history decides nothing
-    and isn't read.
+def settled_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
+    """(record_id, low, high, rate, unit_from): each result's pay with its final rate to euros a year.
+
+    unit_from: 'text', 'market', 'history' (a segment's unit change was reversed) or 'nothing' (no unit known and
+    no level to compare with).  The texts are parsed once; the parsed rows are kept for both uses.
     """
-    tables = (specs, market_ref, fx, periods)
-    pay = read_pay(results, *tables)
-    unknown = read_pay(results, *tables, without_market=True).where("not known")
-    asked = unknown.select(F.col("source").alias("query_text")).distinct()
-    history = read_pay(results.join(asked, "query_text", "left_semi"), *tables).withColumn("v", F.col("high") * F.col("rate"))
     per_eur = {r[0]: float(r[1]) for r in fx.select("currency", "units_per_eur").dropna().collect()}
     per_year = {r[0]: int(r[1]) for r in periods.select("pay_period", "per_year").dropna().collect()}
-    units = ["no_period", "no_currency"]
-    segments = _daily(history, "known", *units).groupBy("source").applyInPandas(
-        _unknown_segments(per_year, per_eur), "source string, no_period boolean, no_currency boolean, first_day date, last_day date, log_factor double"
+    pay = read_pay(results, specs, market_ref, fx, periods).persist(StorageLevel.MEMORY_AND_DISK)
+    units = ["period_from", "currency_from"]
+    segments = _daily(pay.withColumn("v", F.col("high") * F.col("rate")), *units).mapInPandas(
+        _open_segments(per_year, per_eur), "source string, period_from string, currency_from string, first_day date, last_day date, log_factor double"
+    )
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt")
+    shift = segments.where("log_factor <> 0").select(*(F.col(c).alias(f"g_{c}") for c in ("source", *units)), "first_day", "last_day", "log_factor", salt)
+    stated = (F.col("period_from") == "") & (F.col("currency_from") == "")
+    # The rows of a source that holds a third of them fall into as many groups as there are salts.
+    loose = pay.where(~stated).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    same = [F.col(c) == F.col(f"g_{c}") for c in ("source", "salt", *units)]
+    fixed = loose.join(shift, [*same, F.col("day").between(F.col("first_day"), F.col("last_day"))], "left")
+    rate = F.col("rate") / F.exp(F.coalesce("log_factor", F.lit(0.0)))
+    source = F.when(F.col("log_factor").isNotNull(), "history").when((F.col("period_from") == "?") | (F.col("currency_from") == "?"), "nothing").otherwise("market")
+    return pay.where(stated).select("record_id", "low", "high", "rate", F.lit("text").alias("unit_from")).unionByName(
+        fixed.select("record_id", "low", "high", rate.alias("rate"), source.alias("unit_from"))
     )
-    shift = segments.where("log_factor <> 0").select(*(F.col(c).alias(f"g_{c}") for c in ("source", *units)), "first_day", "last_day", "log_factor")
-    same = [F.col(c) == F.col(f"g_{c}") for c in ("source", *units)]
-    fixed = unknown.join(shift, [*same, F.col("day").between(F.col("first_day"), F.col("last_day"))], "left")
-    fixed = fixed.withColumn("rate", F.col("rate") / F.exp(F.coalesce("log_factor", F.lit(0.0)))).select("record_id", "low", "high", "rate")
-    rows = pay.where("known").select("record_id", "low", "high", "rate").unionByName(fixed)
-    return rows.select(
+
+
+def yearly_euros(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
+    """p4: (result_id, low_eur_year, high_eur_year) of every result that states pay."""
+    return settled_pay(results, specs, market_ref, fx, periods).select(
         F.col("record_id").alias("result_id"),
         F.floor(F.least("low", "high") * F.col("rate") + 0.5).cast("long").alias("low_eur_year"),
         F.floor(F.greatest("low", "high") * F.col("rate") + 0.5).cast("long").alias("high_eur_year"),
     )
+
+
+def unit_decisions(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
+    """(unit_from, n): how many results have their unit from where."""
+    return settled_pay(results, specs, market_ref, fx, periods).groupBy("unit_from").agg(F.count("*").alias("n"))

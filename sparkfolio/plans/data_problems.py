@@ -29,6 +29,14 @@ def _p5_found(spark, d):
     return timestamps.entry_dates(table(spark, d, "employer_entries"))
 
 
-QUERIES = {"p3_found": _p3_found, "p4_found": _p4_found, "p4_unit_segments": _p4_unit_segments, "p5_found": _p5_found}
+def _p4_decisions(spark, d):
+    return units.unit_decisions(*_pay_tables(spark, d))
+
+
+def _p5_decisions(spark, d):
+    return timestamps.reading_decisions(table(spark, d, "employer_entries"))
+
+
+QUERIES = {"p3_found": _p3_found, "p4_found": _p4_found, "p4_unit_segments": _p4_unit_segments, "p4_decisions": _p4_decisions, "p5_found": _p5_found, "p5_decisions": _p5_decisions}
 
 SQL: dict[str, str] = {}

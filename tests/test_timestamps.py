@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from sparkfolio.operators.timestamps import decode, interpretations, local_month, normalise_dates, step_cost, transfer
+from sparkfolio.operators.timestamps import BLOCK, PAGE, decode, interpretations, local_month, normalise_dates, reading_decisions, step_cost, transfer
 
 CASES = [
     ("Oct 1998 - Feb. 1999", None, False, "1998-10", "1999-02"),
@@ -63,6 +63,39 @@ def test_operator_null_repeated_and_long_sources(spark):
     assert normalise_dates(df.where("false")).count() == 0
 
 
+def test_the_order_of_the_source_decides(spark):
+    """Dashed numbers that are month first in the records around them, where the first reading alone would be day first."""
+    dates = ["03-25-2020", "04-05-2019", "02-28-2018", "05-06-2017", "01-15-2016"]
+    rows = [(i, 1, i, x, None, None) for i, x in enumerate(dates)] + [(10 + i, 2, i, x, None, None) for i, x in enumerate(["25-03-2020", "04-05-2019", "28-02-2018"])] + [(20, 3, 0, "04-05-2019", None, None)]
+    df = spark.createDataFrame(rows, "entry_id long, cv_id long, pos int, dates_raw string, tz string, is_current boolean")
+    got = {r.record_id: (r.start_norm, r.by_path) for r in normalise_dates(df).collect()}
+    assert got[1] == ("2019-04-05", True) and got[3] == ("2017-05-06", True)
+    assert got[11] == ("2019-05-04", False) and got[20] == ("2019-05-04", False)
+    assert {r.decided_by: r.n for r in reading_decisions(df).collect()} == {"one reading": 5, "order of the source": 2, "cheapest alone": 2}
+
+
+def test_slashes_follow_the_zone_whatever_the_order(spark):
+    rows = [(i, 1, i, x, "Europe/Prague", None) for i, x in enumerate(["03-25-2020", "04/05/2019", "02-28-2018"])]
+    df = spark.createDataFrame(rows, "entry_id long, cv_id long, pos int, dates_raw string, tz string, is_current boolean")
+    assert {r.record_id: r.start_norm for r in normalise_dates(df).collect()}[1] == "2019-05-04"
+
+
+def test_many_reaches_equal_one_pass(spark):
+    """A source over many blocks and reaches has the costs of one Viterbi pass over all its records."""
+    rng = random.Random(3)
+    step = 7919 * 31
+    rows = [(i * step, 1, rng.randint(0, 600), f"{rng.randint(1, 12):02d}-{rng.randint(1, 12):02d}-{rng.randint(1995, 2020)}", None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "entry_id long, cv_id long, pos int, dates_raw string, tz string, is_current boolean")
+    got = {r.record_id: r for r in normalise_dates(df).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] // PAGE * (1 << 20) + r[2] // BLOCK), -r[2], -r[0]))
+    cands = [interpretations(r[3], None, None) for r in order]
+    assert len({-(r[0] // PAGE * (1 << 20) + r[2] // BLOCK) >> 26 for r in rows}) > 20
+    chosen = [next(c for c in cs if (c[0], c[2]) == (got[r[0]].start_norm, got[r[0]].format)) for r, cs in zip(order, cands)]
+    best = [cs[i] for cs, i in zip(cands, decode(cands))]
+    cost = lambda path: sum(c[3] for c in path) + sum(step_cost(a, b) for a, b in zip(path, path[1:]))
+    assert cost(chosen) == pytest.approx(cost(best))
+
+
 def test_local_month():
     assert local_month("2014-02-28T23:30:00Z", "Europe/Prague") == 2014 * 12 + 2
     assert local_month("2014", None) == 2014 * 12 and local_month("present", None) is None

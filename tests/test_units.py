@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from sparkfolio.operators.units import currency_of, number, parse_pay, segment, unit_segments, yearly_euros
+from sparkfolio.operators.units import currency_of, number, parse_pay, segment, unit_decisions, unit_segments, yearly_euros
 
 CASES = [
     ("Praha | data analyst | 115–140 thousand a month | 832 open positions", "CZK", (115000, 140000, None, "month")),
@@ -86,3 +86,23 @@ def test_unknown_units_are_compared_with_the_known_level(spark):
     assert {got[100 + i] - 29000 - 100 * i for i in range(1, 21)} == {0}
     assert {got[200 + i] for i in range(1, 21)} == {30000} and {got[300 + i] for i in range(1, 21)} == {30000}
     assert {got[400 + i] for i in range(1, 21)} == {2500}  # no known value to compare with
+
+
+def test_history_overrules_a_wrong_market(spark):
+    """A market that says month while its unstated pay is a year's: the segment is off by twelve, and the change is reversed.
+
+    The same market keeps its unit for the days whose level fits it, and where too few values speak.
+    """
+    rows = []
+    for i in range(1, 21):
+        rows += [(100 + i, None, "q", f"2024-01-{i:02d}", f"{29000 + 900 * (i % 5)} € per year"), (200 + i, 5, "q", f"2024-02-{i:02d}", f"{29000 + 900 * (i % 5)} €"), (300 + i, 5, "q", f"2024-03-{i:02d}", f"{2450 + 50 * (i % 5)} €")]
+    rows += [(401 + i, None, "few", f"2024-01-{i + 1:02d}", "30000 € per year") for i in range(20)] + [(450, 5, "few", "2024-02-01", "30000 €")]
+    res = spark.createDataFrame(rows, "result_id long, cv_id long, query_text string, day string, body string").selectExpr("*", "to_timestamp(day) fetched_at")
+    spec = spark.createDataFrame([(5, "CZ", "EUR", "month")], "cv_id long, country string, currency string, pay_period string")
+    ref = spark.createDataFrame([("CZ", "CZK", "month")], "country string, currency string, pay_period string")
+    fx = spark.createDataFrame([("CZK", 25.0), ("EUR", 1.0)], "currency string, units_per_eur double")
+    per = spark.createDataFrame([("month", 12), ("year", 1)], "pay_period string, per_year int")
+    got = {r.result_id: r.high_eur_year for r in yearly_euros(res, spec, ref, fx, per).collect()}
+    assert [got[200 + i] for i in range(1, 21)] == [29000 + 900 * (i % 5) for i in range(1, 21)]
+    assert [got[300 + i] for i in range(1, 21)] == [12 * (2450 + 50 * (i % 5)) for i in range(1, 21)] and got[450] == 360000
+    assert {r.unit_from: r.n for r in unit_decisions(res, spec, ref, fx, per).collect()} == {"text": 40, "history": 20, "market": 21}
