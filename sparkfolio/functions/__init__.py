@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,17 @@ def occurrences(text: Column, needle: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")
 
 
+def each(df: DataFrame, keep: list, array: Column, name: str, place: str | None = None) -> DataFrame:
+    """df's columns `keep` with one row per element of the array, called `name`, and its place from 0 where asked for; no rows for null or empty arrays.
+
+    Elements must not be null.  Spark derives a filter on the array's size from a plain explode and pushes it below
+    the projections that build the array, which then evaluates them inside one another for every element (measured
+    on sections of 600 documents: 16 s against 0.8 s).  The outer explode derives none.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, name)) if place else df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def first_match(c: Column, cases: list[tuple[str, object]], default=None) -> Column:
     """CASE chain: the value of the first pattern found in the column."""
     out = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fold
@@ -95,7 +95,27 @@ def education_level(slices: DataFrame, key: str, section: str = "section", body:
 
 
 def retry_merge(scores: DataFrame, key: str, name: str, attempt: str, score: str, replaceable: str) -> DataFrame:
-    """(key, name, score): the first attempt's score of each name; the replaceable name takes the highest over all attempts."""
-    w = Window.partitionBy(key, name).orderBy(attempt, F.col(score).desc())
-    first = scores.withColumn("rn", F.row_number().over(w)).withColumn("top", F.max(score).over(Window.partitionBy(key, name)))
-    return first.where("rn = 1").select(key, name, F.when(F.col(name) == replaceable, F.col("top")).otherwise(F.col(score)).alias(score))
+    """(key, name, score): the first attempt's score of each name (ties: the highest); the replaceable name takes the highest over all attempts.
+
+    Aggregates, so a hot key shrinks before the shuffle; null scores and attempts come last.
+    """
+    per = scores.groupBy(key, name).agg(F.min(F.struct(F.col(attempt).isNull(), F.col(attempt), F.col(score).isNull(), (-F.col(score)).alias("n"))).alias("first"), F.max(score).alias("top"))
+    return per.select(key, name, F.when(F.col(name) == replaceable, F.col("top")).otherwise(-F.col("first.n")).alias(score))
+
+
+SECTION_MISSES = 2
+
+
+def score_gates(attempts: DataFrame, components: DataFrame, key: str = "cv_id") -> DataFrame:
+    """(key, failure, missing): whether a score stands, and the names it lacks, in order.
+
+    attempts: key, attempt, section_misses; components: key, name of the verified components of all attempts.  More
+    than SECTION_MISSES missed sections in any attempt fail the score ('section_blind'); else a missing experience
+    does ('missing_experience'); other missing names count as zero.  A key without attempts gives no row.
+    """
+    blind = attempts.groupBy(key).agg((F.max("section_misses") > SECTION_MISSES).alias("_blind"))
+    names = F.array(*[F.lit(n) for n in sorted(n for n, _ in WEIGHTS)])
+    have = components.groupBy(key).agg(F.collect_set("name").alias("_have"))
+    out = blind.join(have, key, "left").withColumn("_missing", F.array_except(names, F.coalesce("_have", F.array().cast("array<string>"))))
+    failure = F.when(F.col("_blind"), "section_blind").when(F.array_contains("_missing", "experience"), "missing_experience")
+    return out.select(key, failure.alias("failure"), F.array_join("_missing", ",").alias("missing"))

@@ -1,7 +1,7 @@
 """Ordered redaction passes over whole documents: URL, email, phone, header address, postcode, year, name.
 
-Passes that change only part of a match mark the envelope with sentinels first and then replace inside it,
-so all of them stay built-in expressions.
+Every pass first puts sentinels (characters that no text may hold) around what it takes out; the text after it,
+what it took and the places in the new text all follow from that, so all passes stay built-in expressions.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import each
+
 # Patterns of the passes.
 URL = r"https?://\S+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -20,7 +22,7 @@ MONTH = r"(?:January|February|March|April|May|June|July|August|September|October
 YEAR = r"(?:19|20)\d{2}"
 YEAR_ENVELOPE = rf"{MONTH}\s+{YEAR}|{YEAR}\s+{MONTH}|{YEAR}\s*[-–]\s*(?:Present|present|{YEAR})|(?:Present|present)\s*[-–]\s*{YEAR}"
 POSTCODE_ENVELOPE = r",\s*[A-Za-zÀ-ž]{3,}[^,\n]{0,20}?\b\d{3} ?\d{2}\b|\b\d{3} ?\d{2}\b[^,\n]{0,20}?,\s*[A-Za-zÀ-ž]{3,}"
-ADDRESS_LINE = r"^\s*(?!(?:19|20)\d\d)\d{1,5} \p{Lu}[\p{L}'.-]*(?:[ ,]+[\p{L}\d'.-]+)*\s*$"
+ADDRESS_LINE = r"(?U)^\s*(?!(?:19|20)\d\d\b)\d{1,5} +[A-ZÀ-Ž][a-zA-ZÀ-ž .]{3,40}(?:, *[\wÀ-ž][\wÀ-ž .-]*)*\s*$"
 NAME_LABEL = r"(?im)^([ \t]*Name[ \t]*:[ \t]*)([A-ZÀ-Ž][\wÀ-ž'’\-]*(?:[ \t]+[A-ZÀ-Ž][\wÀ-ž'’\-]*){0,3})(?=[ \t]*$)"
 MARKER = r"\[(?:EMAIL|PHONE|URL|POSTCODE|YEAR|NAME)\]"
 # Headings that look like a name in the head of a CV.
@@ -32,19 +34,25 @@ _S = r"[\s\x1c-\x1f]"
 # A word in title case: one capital, or a capital and more with a small letter among it.
 _TITLE = r"\p{Lu}(?:(?=[\p{L}'’-]*\p{Ll})[\p{L}'’-]+)?"
 NAME = rf"(?U)^{_TITLE}(?:{_S}+{_TITLE}){{1,3}}$"
-_A, _B = "\x01", "\x02"
+#: Sentinels around an envelope and around what is taken out.
+_A, _B, _OPEN, _SHUT = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_TAKEN = f"{_OPEN}([^{_SHUT}]*){_SHUT}"
 HEADER_LINES, NAME_LINES = 20, 10
 
 
-def within(text: Column, envelope: str, part: str, marker: str) -> Column:
-    """Replace every `part` inside every match of `envelope`, the envelopes found left to right without overlap."""
+def mark(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_SHUT}")
+
+
+def mark_within(text: Column, envelope: str, part: str) -> Column:
+    """Mark every `part` inside every match of `envelope`, the envelopes found left to right without overlap."""
     held = F.regexp_replace(text, f"({envelope})", f"{_A}$1{_B}")
-    return F.regexp_replace(F.regexp_replace(held, rf"\b(?:{part})\b(?=[^{_A}{_B}]*{_B})", marker), f"[{_A}{_B}]", "")
+    return F.regexp_replace(F.regexp_replace(held, rf"\b({part})\b(?=[^{_A}{_B}]*{_B})", f"{_OPEN}$1{_SHUT}"), f"[{_A}{_B}]", "")
 
 
-def found_within(text: Column, envelope: str, part: str) -> Column:
-    """What `within` would replace."""
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({envelope})"), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(rf"\b({part})\b"), F.lit(1))))
+def mark_address(text: Column) -> Column:
+    street = lambda x, i: F.when((i < HEADER_LINES) & x.rlike(ADDRESS_LINE), F.regexp_replace(x, r"(?sU)^(\s*)(.*?)(\s*)$", f"$1{_OPEN}$2{_SHUT}$3")).otherwise(x)
+    return F.array_join(F.transform(F.split(text, "\n"), street), "\n")
 
 
 def header_name(text: Column) -> Column:
@@ -65,58 +73,67 @@ def header_name(text: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(head, name), lambda x: x.isNotNull()), F.lit(1))
 
 
-KINDS = ["url", "email", "phone", "address", "postcode", "year", "name", "name_label"]
+# The passes in their order, with the kind each is logged as and its placeholder.
+PASSES = [
+    ("url", "url", "[URL]"), ("email", "email", "[EMAIL]"), ("phone", "phone", "[PHONE]"), ("address", "address", "[ADDRESS]"), ("postcode", "address", "[POSTCODE]"),
+    ("year", "year", "[YEAR]"), ("name", "name", "[NAME]"), ("name_label", "name", "[NAME]"),
+]
+KINDS = [name for name, _, _ in PASSES]
 
 
 def _passes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _t: the redacted text, and per kind what its pass took out of the text it saw, as array _kind)."""
+    """(key, _t: the redacted text, and per pass the text it saw with its marks, as _pass)."""
     t = F.col("_t")
+    named = F.concat(F.lit(r"(?U)(?<!\w)(\Q"), F.col("_header"), F.lit(r"\E)(?!\w)"))
+    marks = {
+        "url": mark(t, URL), "email": mark(t, EMAIL), "phone": mark(t, PHONE), "address": mark_address(t), "postcode": mark_within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}"),
+        "year": mark_within(t, YEAR_ENVELOPE, YEAR), "name": F.when(F.col("_header").isNotNull(), F.regexp_replace(t, named, F.lit(f"{_OPEN}$1{_SHUT}"))).otherwise(t),
+        "name_label": F.regexp_replace(t, NAME_LABEL, f"$1{_OPEN}$2{_SHUT}"),
+    }
     steps = df.select(key, F.col(text).alias("_t"))
-
-    def step(kind: str, found: Column, after: Column):
-        nonlocal steps
-        steps = steps.withColumn(f"_{kind}", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_t", after)
-
-    for kind, pattern in (("url", URL), ("email", EMAIL), ("phone", PHONE)):
-        step(kind, F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), F.regexp_replace(t, pattern, f"[{kind.upper()}]"))
-    rows = F.split(t, "\n")
-    street = lambda x, i: (i < HEADER_LINES) & x.rlike(ADDRESS_LINE)
-    marked = F.array_join(F.transform(rows, lambda x, i: F.when(street(x, i), F.lit("[ADDRESS]")).otherwise(x)), "\n")
-    step("address", F.transform(F.filter(rows, street), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), marked)
-    step("postcode", found_within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}"), within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}", "[POSTCODE]"))
-    step("year", found_within(t, YEAR_ENVELOPE, YEAR), within(t, YEAR_ENVELOPE, YEAR, "[YEAR]"))
-    steps = steps.withColumn("_header", header_name(t))
-    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("_header"), F.lit(r"\E(?!\w)"))
-    named = F.col("_header").isNotNull()
-    step("name", F.when(named, F.regexp_extract_all(t, pattern, F.lit(0))), F.when(named, F.regexp_replace(t, pattern, F.lit("[NAME]"))).otherwise(t))
-    step("name_label", F.regexp_extract_all(t, F.lit(NAME_LABEL), F.lit(2)), F.regexp_replace(t, NAME_LABEL, "$1[NAME]"))
+    for name, _, placeholder in PASSES:
+        if name == "name":
+            steps = steps.withColumn("_header", header_name(t))
+        steps = steps.withColumn(f"_{name}", marks[name]).withColumn("_t", F.regexp_replace(f"_{name}", _TAKEN, placeholder))
     return steps.drop("_header")
 
 
+def _count(marked: Column) -> Column:
+    return F.coalesce(F.length(marked) - F.length(F.replace(marked, F.lit(_OPEN), F.lit(""))), F.lit(0)).cast("int")
+
+
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, redacted, and the number of replacements of each kind): the ordered passes over the whole text.
+    """(key, redacted, and the number of replacements of each pass): the ordered passes over the whole text.
 
     A null text stays null with zero counts.  A second run over the result changes nothing.
     """
-    return _passes(df, key, text).select(key, F.col("_t").alias("redacted"), *(F.size(f"_{k}").alias(f"n_{k}") for k in KINDS))
+    return _passes(df, key, text).select(key, F.col("_t").alias("redacted"), *(_count(F.col(f"_{k}")).alias(f"n_{k}") for k in KINDS))
 
 
 def audit_all(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, ord, original) of everything that redact() takes out: as many rows of a kind as its count there.
+    """(key, step, kind, ord, original, replacement, span_start, span_end) of everything that redact() takes out, as many rows of a step as its count there.
 
-    Kind name has the header name and its repeats, name_label the names after 'Name:'.
+    kind is what it is logged as: a postcode is an address, a name after 'Name:' a name.  Spans are places in the text
+    as the step left it, which later steps may shift.
     """
-    row = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), x.alias("original"))
-    found = F.concat(*(F.transform(f"_{k}", row(k)) for k in KINDS))
-    return _passes(df, key, text).select(key, F.explode(found).alias("r")).select(key, "r.kind", "r.ord", "r.original")
-
-
-def audit(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, ord, original) of what the URL, email and phone passes alone would take out, each in the text the pass sees."""
-    after_url = F.regexp_replace(F.col(text), URL, "[URL]")
-    after_email = F.regexp_replace(after_url, EMAIL, "[EMAIL]")
-    out = None
-    for kind, pattern, seen in (("url", URL, F.col(text)), ("email", EMAIL, after_url), ("phone", PHONE, after_email)):
-        part = df.select(key, F.lit(kind).alias("kind"), F.posexplode(F.regexp_extract_all(seen, F.lit(f"({pattern})"), F.lit(1))).alias("ord", "original"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def entries(name: str, kind: str, placeholder: str) -> Column:
+        marked = F.col(f"_{name}")
+        taken = F.regexp_extract_all(marked, F.lit(_TAKEN), F.lit(1))
+        around = F.transform(F.split(marked, _TAKEN, -1), F.length)
+        n = len(placeholder)
+
+        def row(x: Column, i: Column) -> Column:
+            start = F.aggregate(F.slice(around, 1, i + 1), F.lit(0), lambda a, v: a + v) + i * n
+            return F.struct(F.lit(name).alias("step"), F.lit(kind).alias("kind"), i.alias("ord"), x.alias("original"), F.lit(placeholder).alias("replacement"), start.alias("span_start"), (start + n).alias("span_end"))
+
+        return F.coalesce(F.transform(taken, row), F.array().cast("array<struct<step:string,kind:string,ord:int,original:string,replacement:string,span_start:int,span_end:int>>"))
+
+    found = F.concat(*(entries(*p) for p in PASSES))
+    return each(_passes(df, key, text), [key], found, "r").select(key, "r.*")
+
+
+def kind_counts(audit: DataFrame, cvs: DataFrame, key: str = "cv_id") -> DataFrame:
+    """(key, url, email, phone, year, address, name): replacements of each kind, zeros for absent kinds and documents without any."""
+    n = audit.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("url", "email", "phone", "year", "address", "name")])
+    return cvs.select(key).distinct().join(n, key, "left").na.fill(0)

@@ -42,3 +42,34 @@ def escape_html(text: Column) -> Column:
 def money(n: Column) -> Column:
     """Whole number with commas between thousands."""
     return F.format_number(n, 0)
+
+
+# The least actions of a full plan, and the share of failed plans that fails a corpus.
+FULL_PLAN, MOST_FAILED = 3, 0.25
+
+
+def plan_status(actions: Column, failed: Column, cascade: Column) -> Column:
+    """'ok' from three actions on, 'degraded' with fewer, 'skipped' where an earlier stage failed, else 'failed'."""
+    return F.when(~failed & (actions >= FULL_PLAN), "ok").when(~failed & (actions > 0), "degraded").when(failed & cascade, "skipped").otherwise("failed")
+
+
+def corpus_summary(events: DataFrame, run: str, event: str, value: str, payload: str) -> DataFrame:
+    """One row over all runs: reports, plans by status, drops and retries, cost and latency, and whether too many plans failed.
+
+    Of an event table: purchases are actions, clicks drops, views retries, errors failures; a run with a signup and no
+    purchase but errors counts as cascaded.  Skipped runs count on neither side of the share of failures.
+    """
+    n = lambda e: F.count_if(F.col(event) == e)
+    whole = F.get_json_object(payload, "$.k")
+    per = events.groupBy(run).agg(
+        n("purchase").alias("actions"), n("click").alias("drops"), n("view").alias("retries"), n("error").alias("errors"), n("signup").alias("signups"),
+        F.coalesce(F.sum(F.when(whole.rlike(r"^-?\d+$"), whole.try_cast("long"))), F.lit(0)).alias("latency"), F.round(F.sum(F.col(value)), 2).alias("cost"),
+    )
+    failed = (F.col("actions") == 0) & (F.col("errors") > 0)
+    per = per.withColumn("status", plan_status(F.col("actions"), failed, F.col("signups") > 0))
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    ran = F.count("*") - is_("skipped")
+    return per.agg(
+        F.count("*").alias("reports"), *[is_(s).alias(s) for s in ("ok", "degraded", "skipped", "failed")], F.sum("drops").alias("drops"), F.sum("retries").alias("retries"),
+        F.round(F.avg("latency"), 4).alias("avg_latency"), F.max("latency").alias("max_latency"), F.coalesce(is_("failed") / F.nullif(ran, F.lit(0)) > MOST_FAILED, F.lit(False)).alias("too_many_failed"),
+    )

@@ -34,7 +34,6 @@ def test_redaction_passes(spark):
     assert got[2].redacted is None and got[3].redacted == ""
     again = redaction.redact(spark.createDataFrame([(1, r.redacted)], "k int, t string"), "k", "t").first()
     assert again.redacted == r.redacted
-    assert [tuple(x) for x in redaction.audit(df, "k", "t").orderBy("kind").collect()] == [(1, "email", 0, "jan.novak@mail.cz"), (1, "phone", 0, "+420 603 123 456"), (1, "url", 0, "https://x.y/z")]
 
 
 HEADS = [
@@ -56,13 +55,15 @@ def test_audit_of_every_pass(spark):
     text = "Jan Novák\n  12 Long Street, Praha\nsee https://x.y/z or jan@mail.cz, +420 603 123 456\nMay 2015 - June 2016\nPraha, Karlín 186 00\nJan Novák wrote this\nName: Petr Malý"
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "prose")], "k int, t string")
     rows = redaction.audit_all(df, "k", "t").collect()
-    assert sorted((r.kind, r.ord, r.original) for r in rows) == [
+    assert sorted((r.step, r.ord, r.original) for r in rows) == [
         ("address", 0, "12 Long Street, Praha"), ("email", 0, "jan@mail.cz"), ("name", 0, "Jan Novák"), ("name", 1, "Jan Novák"), ("name_label", 0, "Petr Malý"),
         ("phone", 0, "+420 603 123 456"), ("postcode", 0, "186 00"), ("url", 0, "https://x.y/z"), ("year", 0, "2015"), ("year", 1, "2016"),
     ]
     assert {r.k for r in rows} == {1}
     n = {r.k: r.asDict() for r in redaction.redact(df, "k", "t").collect()}
-    assert all(n[k][f"n_{kind}"] == sum(r.k == k and r.kind == kind for r in rows) for k in n for kind in redaction.KINDS)
+    assert all(n[k][f"n_{step}"] == sum(r.k == k and r.step == step for r in rows) for k in n for step in redaction.KINDS)
+    kinds = {r.k: r.asDict() for r in redaction.kind_counts(redaction.audit_all(df, "k", "t"), df, "k").collect()}
+    assert kinds[1] == {"k": 1, "url": 1, "email": 1, "phone": 1, "year": 2, "address": 2, "name": 3} and sum(kinds[4].values()) == 4
 
 
 def test_phone_pattern_like_python(spark):
@@ -92,10 +93,9 @@ def test_tenure(spark, text, years):
 
 
 def test_timeline(spark):
-    text = "Work\nAcme\n• Analyst\n[YEAR] - [YEAR]\n\nBeta — Developer\n2014 - 2016 - Remote\nGamma\n[YEAR] -"
+    text = "Experience\nWork\nAcme\n• Analyst\n[YEAR] - [YEAR]\n\nBeta — Developer\n2014 - 2016 - Remote\nGamma\n[YEAR] -"
     got = [tuple(r)[2:] for r in tenure.timeline(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").orderBy("pos").collect()]
     assert got == [("Work — Acme — Analyst", "[YEAR] - [YEAR]", False), ("Beta — Developer", "2014 - 2016 - Remote", False), ("Gamma", "[YEAR] -", True)]
-    assert tenure._current(" 2012, 2014 - 2016", 2026) is False and tenure._current(" [YEAR]", 2026) is False
 
 
 def test_quote_rule(spark):
@@ -120,9 +120,6 @@ def test_profile(spark):
     assert [(r.c.band, r.c.management) for r in c.collect()] == [("head", True), ("head", True), (None, None), ("mid", False), ("senior", True), (None, None)]
     e = spark.createDataFrame([(1, "skills", "A  b"), (1, "experience", "a b"), (1, "skills", None), (2, "soft_signals", "x")], "cv_id long, field string, anchor_quote string")
     assert {tuple(r) for r in profile.evidence_score(e).collect()} == {(1, 3), (2, 1)}
-    d = spark.createDataFrame([(1, "Member of Staff"), (2, "Senior Analyst"), (3, None)], "cv_id long, detected_role string")
-    t = spark.createDataFrame([(1, 1, "Data Engineer"), (1, 2, "Head of Data")], "cv_id long, ord int, title string")
-    assert {(r.cv_id, r.band, r.source) for r in profile.role_bands(d, t).collect()} == {(1, "head", "titles"), (2, "senior", "headline")}
 
 
 def test_market(spark):
