@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import each, fold, squeeze, strip, word_count
+from ..functions import BLANK, each, fold, squeeze, strip, word_count
 
 # Section headers by family; equal families are one section in either language.
 SECTION_FAMILIES = [
@@ -50,9 +50,15 @@ def bare(line: Column) -> Column:
 
 
 def is_header(line: Column) -> Column:
-    """A known section name of up to 40 characters, or seven or more capitals; a line that is marked already isn't counted."""
-    name = strip(F.regexp_replace(strip(line), r":$", ""))
-    return ~line.startswith("##") & (name.rlike(ALL_CAPS) | ((F.length(name) <= 40) & squeeze(fold(name)).isin(list(_FAMILY_OF))))
+    """A known section name of up to 40 characters, or seven or more capitals; a line that is marked already isn't counted.
+
+    Most lines are too long for a name, which their length without blanks tells before anything is folded.
+    """
+    name = lambda x: strip(F.regexp_replace(strip(x), r":$", ""))
+    capitals = line.rlike(rf"^{BLANK}*\p{{Lu}}[\p{{Lu}} &/]{{5,}}[\p{{Lu}}&/]{BLANK}*:?{BLANK}*$")
+    short = F.length(F.translate(line, " \t\u00a0", "")) <= 41
+    known = F.when(short, (F.length(name(line)) <= 40) & squeeze(fold(name(line))).isin(list(_FAMILY_OF))).otherwise(F.lit(False))
+    return ~line.startswith("##") & (capitals | known)
 
 
 def headers(df: DataFrame, key: str, text: str) -> DataFrame:
