@@ -1,8 +1,8 @@
 """Personal information in free text -> typed mentions and redacted text.
 
 High-recall generators propose overlapping spans of each kind; boosted trees score every span by its format
-and its context; calibrated thresholds and a best-score-first choice among overlapping spans give the
-mentions.  The trees are fitted on a bounded sample whose labels come from the audit log (placeholder and
+and its context; calibrated thresholds select spans, and of overlapping ones the longest among the sure (scores
+above 0.9) is taken first, then the rest by score.  The trees are fitted on a bounded sample whose labels come from the audit log (placeholder and
 original of each redaction) and from strong context words; spans without such evidence stay unlabelled.
 """
 

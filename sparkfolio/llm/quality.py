@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import BLANK
 from .sampling import lowest_hashes
 
 # The commonest words of the six languages.
@@ -49,13 +50,13 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     A null or blank text has zero lines, words and shares.  Columns of df with the same names are replaced.
     What several statistics need (lines, lower-case words, lengths) is a column of its own and computed once.
     """
-    blank = r"[\s ]+"
+    blank = f"{BLANK}+"
     out = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     t = F.col("_t")
     without = lambda rx: F.length(F.regexp_replace(t, rx, ""))
     out = out.withColumns({
         "n_chars": F.length(t),
-        "_lines": F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(F.translate(x, "\t  ", "   ")) != ""),
+        "_lines": F.filter(F.split(t, r"\r?\n"), lambda x: ~x.rlike(f"^{BLANK}*$")),
         "_solid": without(blank),
         "n_words": F.size(F.filter(F.split(t, blank), lambda x: x != "")),
         "_plain": F.concat(F.lit(" "), F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}'’]+", " ")), F.lit(" ")),
@@ -254,6 +255,15 @@ def document_classes(documents: DataFrame) -> DataFrame:
     return statistics(_spread(documents)).drop("text").withColumn("text_class", F.expr(case)).dropDuplicates(["doc_id"])
 
 
+MEASURES = ["n_words", "mean_word_len", "symbol_ratio", "punct_end_share", "common_share"]
+
+
+def measures(documents: DataFrame) -> DataFrame:
+    """(doc_id, and the MEASURES, shares rounded to six places) of every document, without a model."""
+    rows = statistics(_spread(documents)).dropDuplicates(["doc_id"])
+    return rows.select("doc_id", "n_words", *(F.round(m, 6).alias(m) for m in MEASURES[1:]))
+
+
 def not_prose(documents: DataFrame) -> DataFrame:
     """p10: (doc_id, text_class) of documents that aren't prose."""
     # A plain filter on the class would be pushed below and compute all statistics twice; a generator isn't.

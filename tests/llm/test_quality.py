@@ -63,3 +63,10 @@ def test_classes(spark):
 @pytest.mark.parametrize("rule", [[], [("table", [(9, ">=", 0.5)])]])
 def test_case_is_sql(spark, rule):
     assert spark.createDataFrame([(0,)], "n_words int").selectExpr("*", "0.0 as bullet_share").selectExpr(quality.to_case(rule) + " as c").first().c == "junk"
+
+
+def test_measures_count_blanks_of_every_kind(spark):
+    rows = [(1, "\u00a0\u00a0"), (2, "Hello\u00a0the\u2003world.\n\u3000\n\u2014 a"), (3, None), (4, ""), (3, None)]
+    got = {r.doc_id: r for r in quality.measures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 4 and all(got[k].n_words == 0 and got[k].mean_word_len == 0 and got[k].punct_end_share == 0 for k in (1, 3, 4))
+    assert got[2].n_words == 5 and got[2].mean_word_len == 3.2 and got[2].punct_end_share == 0.5 and got[2].symbol_ratio == 0.0625 and got[2].common_share == 0.4
