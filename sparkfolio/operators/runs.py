@@ -57,7 +57,7 @@ def corpus_summary(events: DataFrame, run: str, event: str, value: str, payload:
     """One row over all runs: reports, plans by status, drops and retries, cost and latency, and whether too many plans failed.
 
     Of an event table: purchases are actions, clicks drops, views retries, errors failures; a run with a signup and no
-    purchase but errors counts as cascaded.  Skipped runs count on neither side of the share of failures.
+    purchase but errors counts as cascaded.  Skipped runs count on neither side of the share of failures.  No events give no row.
     """
     n = lambda e: F.count_if(F.col(event) == e)
     whole = F.get_json_object(payload, "$.k")
@@ -69,7 +69,8 @@ def corpus_summary(events: DataFrame, run: str, event: str, value: str, payload:
     per = per.withColumn("status", plan_status(F.col("actions"), failed, F.col("signups") > 0))
     is_ = lambda s: F.count_if(F.col("status") == s)
     ran = F.count("*") - is_("skipped")
-    return per.agg(
+    out = per.agg(
         F.count("*").alias("reports"), *[is_(s).alias(s) for s in ("ok", "degraded", "skipped", "failed")], F.sum("drops").alias("drops"), F.sum("retries").alias("retries"),
-        F.round(F.avg("latency"), 4).alias("avg_latency"), F.max("latency").alias("max_latency"), F.coalesce(is_("failed") / F.nullif(ran, F.lit(0)) > MOST_FAILED, F.lit(False)).alias("too_many_failed"),
+        F.round(F.sum("cost"), 2).alias("cost"), F.round(F.avg("latency"), 4).alias("avg_latency"), F.max("latency").alias("max_latency"), F.coalesce(is_("failed") / F.nullif(ran, F.lit(0)) > MOST_FAILED, F.lit(False)).alias("too_many_failed"),
     )
+    return out.where("reports > 0")

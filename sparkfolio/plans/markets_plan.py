@@ -205,6 +205,10 @@ SELECT result_id AS estimate_id, failure, cur AS currency, coalesce(pay_period <
     "confidence_tiers": f"""WITH {_TOP8}, {_MARKET}, n AS (SELECT cv_id, count(DISTINCT domain) AS n FROM t8 GROUP BY cv_id), p AS (SELECT DISTINCT cv_id, detected_role, detected_location, detected_years AS y FROM detected),
 r AS (SELECT p.cv_id, CASE WHEN y >= 8 THEN 2 WHEN y >= 3 THEN 1 ELSE 0 END AS model, CASE WHEN n >= 3 THEN 2 WHEN n = 2 THEN 1 WHEN n = 1 THEN 0 END AS rubric, CASE WHEN y IS NULL THEN 0 WHEN y = 0 OR detected_role IS NULL OR detected_location IS NULL OR provenance = 'default' THEN 1 ELSE 2 END AS fl FROM p JOIN mk USING (cv_id) LEFT JOIN n USING (cv_id)), s AS (SELECT *, least(model, coalesce(rubric, 2)) AS sal FROM r)
 SELECT cv_id, ['Low', 'Medium', 'High'][sal + 1] AS salary_tier, ['Low', 'Medium', 'High'][fl + 1] AS cv_floor, ['Low', 'Medium', 'High'][least(sal, fl) + 1] AS final_tier FROM s""",
+    "corpus_summary": r"""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'click') AS d, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS u, coalesce(sum(CASE WHEN regexp_matches(json_extract_string(props, '$.k'), '^-?[0-9]+$') THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END), 0) AS l, round(sum(value), 2) AS c FROM events GROUP BY user_id),
+s AS (SELECT *, CASE WHEN a >= 3 THEN 'ok' WHEN a > 0 THEN 'degraded' WHEN e > 0 AND u > 0 THEN 'skipped' ELSE 'failed' END AS st FROM r)
+SELECT count(*) AS reports, count(*) FILTER (st = 'ok') AS ok, count(*) FILTER (st = 'degraded') AS degraded, count(*) FILTER (st = 'skipped') AS skipped, count(*) FILTER (st = 'failed') AS failed, CAST(sum(d) AS BIGINT) AS drops, CAST(sum(v) AS BIGINT) AS retries, round(sum(c), 2) AS cost, round(avg(l), 4) AS avg_latency, CAST(max(l) AS BIGINT) AS max_latency,
+coalesce(count(*) FILTER (st = 'failed') / nullif(count(*) FILTER (st <> 'skipped'), 0) > 0.25, false) AS too_many_failed FROM s HAVING count(*) > 0""",
     "run_snapshots": "SELECT user_id AS run, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS purchases, max(ts) AS last_ts, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS last_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "latest_per_query": "SELECT trim(query_text, ' ') AS q, rank_no, result_id FROM search_results QUALIFY row_number() OVER (PARTITION BY trim(query_text, ' '), rank_no ORDER BY fetched_at DESC, result_id DESC) = 1",
     "evidence_tier": """WITH v AS (SELECT o_custkey, o_orderpriority AS s, o_totalprice AS v, CASE o_orderstatus WHEN 'P' THEN 'month' WHEN 'F' THEN 'year' END AS p FROM orders),
