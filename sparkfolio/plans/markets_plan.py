@@ -154,6 +154,16 @@ def _run_snapshots(spark, d):
     return snapshots.groupBy("run").agg(F.max_by(F.struct("events", "purchases", "last_ts", "last_type"), "events").alias("s")).select("run", "s.*")
 
 
+def _page_budgets(spark, d):
+    """The scans of vision_fixtures with made-up sizes: more pages are more bytes, later pages are larger."""
+    from ..sources import page_budgets
+
+    f = table(spark, d, "vision_fixtures").select("fixture_id", F.col("n_pages")).distinct().where("n_pages is not null")
+    p = f.select("fixture_id", "n_pages", F.explode(F.sequence(F.lit(1), F.greatest("n_pages", F.lit(1)))).alias("page"))
+    size = {"pdf_bytes": F.col("fixture_id") % 7 * 1_800_000, "pixels": F.col("page") * 1_000_000 + F.col("fixture_id") % 5 * 1_200_000, "image_bytes": F.col("fixture_id") % 11 * 3_000_000}
+    return page_budgets(p.withColumns(size), "fixture_id")
+
+
 def _corpus_summary(spark, d):
     return runs.corpus_summary(table(spark, d, "events"), "user_id", "event_type", "value", "props")
 
@@ -162,7 +172,7 @@ QUERIES = {
     "resolve_market": _resolve_market, "url_domain": _url_domain, "tld_histogram": _tld_histogram, "source_top8": _source_top8, "source_outcome": _source_outcome, "build_queries": _build_queries, "gather_results": _gather_results, "cassette_keys": _cassette_keys, "cache_with_ttl": _cache_with_ttl, "estimate_gates": _estimate_gates, "confidence_tiers": _confidence_tiers,
     "latest_per_query": _latest_per_query, "salary_numbers": _salary_numbers,
     "source_rubric": _source_rubric, "evidence_tier": _evidence_tier, "score_total": _score_total, "retry_merge": _retry_merge, "interval_union": _interval_union,
-    "cost_rollup": _cost_rollup, "outcome_rates": _outcome_rates, "pair_delta": _pair_delta, "escape_markdown": _escape_markdown, "escape_html": _escape_html, "money": _money, "run_snapshots": _run_snapshots, "corpus_summary": _corpus_summary,
+    "cost_rollup": _cost_rollup, "outcome_rates": _outcome_rates, "pair_delta": _pair_delta, "escape_markdown": _escape_markdown, "escape_html": _escape_html, "money": _money, "run_snapshots": _run_snapshots, "corpus_summary": _corpus_summary, "page_budgets": _page_budgets,
 }
 
 _VALUES = ", ".join("('{}','{}','{}')".format(*r) for r in rules.MARKETS)
@@ -205,6 +215,9 @@ SELECT result_id AS estimate_id, failure, cur AS currency, coalesce(pay_period <
     "confidence_tiers": f"""WITH {_TOP8}, {_MARKET}, n AS (SELECT cv_id, count(DISTINCT domain) AS n FROM t8 GROUP BY cv_id), p AS (SELECT DISTINCT cv_id, detected_role, detected_location, detected_years AS y FROM detected),
 r AS (SELECT p.cv_id, CASE WHEN y >= 8 THEN 2 WHEN y >= 3 THEN 1 ELSE 0 END AS model, CASE WHEN n >= 3 THEN 2 WHEN n = 2 THEN 1 WHEN n = 1 THEN 0 END AS rubric, CASE WHEN y IS NULL THEN 0 WHEN y = 0 OR detected_role IS NULL OR detected_location IS NULL OR provenance = 'default' THEN 1 ELSE 2 END AS fl FROM p JOIN mk USING (cv_id) LEFT JOIN n USING (cv_id)), s AS (SELECT *, least(model, coalesce(rubric, 2)) AS sal FROM r)
 SELECT cv_id, ['Low', 'Medium', 'High'][sal + 1] AS salary_tier, ['Low', 'Medium', 'High'][fl + 1] AS cv_floor, ['Low', 'Medium', 'High'][least(sal, fl) + 1] AS final_tier FROM s""",
+    "page_budgets": """WITH f AS (SELECT DISTINCT fixture_id AS i, n_pages AS n FROM vision_fixtures WHERE n_pages IS NOT NULL), p AS (SELECT i, n, unnest(range(1, greatest(n, 1) + 1)) AS page FROM f),
+q AS (SELECT *, CASE WHEN page * 1000000 + i % 5 * 1200000 > 6000000 THEN 'page_pixels' WHEN i % 11 * 3000000 * page > 48000000 THEN 'total_image_bytes' END AS own FROM p), b AS (SELECT i, min(page) AS page FROM q WHERE own IS NOT NULL GROUP BY i)
+SELECT f.i AS fixture_id, CASE WHEN f.i % 7 * 1800000 > 10000000 THEN 'pdf_bytes' WHEN f.n > 8 THEN 'too_many_pages' ELSE q.own END AS reason FROM f LEFT JOIN b USING (i) LEFT JOIN q ON q.i = b.i AND q.page = b.page""",
     "corpus_summary": r"""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'click') AS d, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS u, coalesce(sum(CASE WHEN regexp_matches(json_extract_string(props, '$.k'), '^-?[0-9]+$') THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END), 0) AS l, round(sum(value), 2) AS c FROM events GROUP BY user_id),
 s AS (SELECT *, CASE WHEN a >= 3 THEN 'ok' WHEN a > 0 THEN 'degraded' WHEN e > 0 AND u > 0 THEN 'skipped' ELSE 'failed' END AS st FROM r)
 SELECT count(*) AS reports, count(*) FILTER (st = 'ok') AS ok, count(*) FILTER (st = 'degraded') AS degraded, count(*) FILTER (st = 'skipped') AS skipped, count(*) FILTER (st = 'failed') AS failed, CAST(sum(d) AS BIGINT) AS drops, CAST(sum(v) AS BIGINT) AS retries, round(sum(c), 2) AS cost, round(avg(l), 4) AS avg_latency, CAST(max(l) AS BIGINT) AS max_latency,

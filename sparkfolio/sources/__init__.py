@@ -1,16 +1,19 @@
-"""Readers: document files by suffix, DOCX text, JSON search cassettes."""
+"""Readers: document files by suffix, DOCX and PDF text, JSON search cassettes and baselines; page budgets and settings."""
 
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pdf import pdf_text
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -37,7 +40,7 @@ def magic_ok(content: Column, suffix: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
-    """(path, suffix, text, problem) of the files under a path; .txt, .md and .docx are read, .pdf needs a text layer made elsewhere.
+    """(path, suffix, text, problem) of the files under a path; .txt, .md, .docx and the text layer of .pdf are read.
 
     Texts are whole, unless `max_chars` is given; a text that it cuts says so in `problem`.
     """
@@ -56,6 +59,9 @@ def read_documents(spark: SparkSession, path: str, max_chars: int | None = None)
                 elif suffix == ".docx":
                     t = docx_text(content)
                     why = None if t is not None else "unreadable docx"
+                elif suffix == ".pdf":
+                    t = pdf_text(content)
+                    why = "unreadable pdf" if t is None else None if t else "no text layer"
                 else:
                     why = "unsupported suffix"
                 if t is not None:
@@ -80,3 +86,42 @@ def read_cassettes(spark: SparkSession, path: str) -> DataFrame:
 def write_reports(df: DataFrame, path: str, key: str, text: str) -> None:
     """One directory of text per key value."""
     df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> list[str]:
+    """The strings of a JSON list, a small fixed file; [] for a missing or unreadable file or anything but a list."""
+    try:
+        doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("b")).collect()
+    except Exception as missing:  # noqa: BLE001  a path that isn't there
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return []
+    return [x for row in doc for x in row.b or [] if x is not None]
+
+
+def env_number(name: str, default: float, low: float | None = None, high: float | None = None, environ=os.environ) -> float:
+    """A setting from the environment, kept within bounds; the default where it is missing or no number.  Whole where the default is."""
+    try:
+        value = type(default)(environ.get(name, default))
+    except ValueError:
+        value = default
+    value = value if low is None else max(low, value)
+    return value if high is None else min(high, value)
+
+
+# The most bytes, pages, pixels a page and bytes of page images of a PDF that is read as images.
+MOST_BYTES, MOST_PAGES, MOST_PIXELS, MOST_IMAGE_BYTES = 10_000_000, 8, 6_000_000, 48_000_000
+
+
+def page_budgets(pages: DataFrame, key: str) -> DataFrame:
+    """(key, reason): why a document's pages can't be read as images, or null.
+
+    pages: key, page, n_pages, pdf_bytes, pixels, image_bytes.  Bytes and pages of the document come first; then the
+    pages in order, each by its pixels and then by all image bytes so far.
+    """
+    so_far = F.sum("image_bytes").over(Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.when(F.col("pdf_bytes") > MOST_BYTES, "pdf_bytes").when(F.col("n_pages") > MOST_PAGES, "too_many_pages")
+    own = F.when(F.col("pixels") > MOST_PIXELS, "page_pixels").when(so_far > MOST_IMAGE_BYTES, "total_image_bytes")
+    rows = pages.withColumns({"_whole": whole, "_own": own})
+    per = rows.groupBy(key).agg(F.max("_whole").alias("w"), F.min(F.when(F.col("_own").isNotNull(), F.struct("page", "_own"))).alias("o"))
+    return per.select(key, F.coalesce("w", "o._own").alias("reason"))
