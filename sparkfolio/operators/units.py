@@ -23,6 +23,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_rows
+
 # How currencies are written; a list where several currencies share the sign or word.
 SHARED_SIGNS = {
     "$": ["USD", "CAD", "AUD"],
@@ -200,6 +202,13 @@ def _parse_batches(per_year: dict, per_eur: dict):
     return run
 
 
+def unit_tables(fx: DataFrame, periods: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
+    """(units per euro, periods per year) of the two small tables; rows with nulls count for nothing, of repeated units the last one by value."""
+    rates = sorted(small_rows(fx.select("currency", "units_per_eur").dropna(), "the table of currencies"))
+    lengths = sorted(small_rows(periods.select("pay_period", "per_year").dropna(), "the table of pay periods"))
+    return {r[0]: float(r[1]) for r in rates}, {r[0]: int(r[1]) for r in lengths}
+
+
 def read_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: DataFrame, periods: DataFrame) -> DataFrame:
     """Stated pay of each result with the rate to euros a year: one row a result that states pay.
 
@@ -208,12 +217,11 @@ def read_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx: Da
     `fx` and `periods` are small fixed tables (13 and 5 rows; they don't grow) and go to the workers as
     dictionaries.  Null or empty bodies give no row; repeated results count once.
     """
-    per_eur = {r[0]: float(r[1]) for r in fx.select("currency", "units_per_eur").dropna().collect()}
-    per_year = {r[0]: int(r[1]) for r in periods.select("pay_period", "per_year").dropna().collect()}
+    per_eur, per_year = unit_tables(fx, periods)
     ref = market_ref.select(F.upper("country").alias("country"), F.col("currency").alias("c_currency"), F.col("pay_period").alias("c_period"))
     # One spec a CV: the lowest, so that repeated rows change nothing.
     spec = specs.groupBy("cv_id").agg(F.min(F.struct(F.upper("country").alias("country"), "currency", "pay_period")).alias("m"))
-    spec = spec.select("cv_id", "m.country", F.col("m.currency").alias("m_currency"), F.col("m.pay_period").alias("m_period")).join(F.broadcast(ref), "country", "left")
+    spec = spec.select("cv_id", "m.country", F.col("m.currency").alias("m_currency"), F.col("m.pay_period").alias("m_period")).join(ref, "country", "left")
     rows = results.where("body is not null and body <> ''").select("cv_id", F.col("result_id").alias("record_id"), F.col("query_text").alias("source"), F.to_date("fetched_at").alias("day"), "body")
     rows = rows.join(spec.drop("country"), "cv_id", "left")
     n = max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), results.sparkSession.sparkContext.defaultParallelism)
@@ -370,8 +378,7 @@ def settled_pay(results: DataFrame, specs: DataFrame, market_ref: DataFrame, fx:
     unit_from: 'text', 'market', 'history' (a segment's unit change was reversed) or 'nothing' (no unit known and
     no level to compare with).  The texts are parsed once; the parsed rows are kept for both uses.
     """
-    per_eur = {r[0]: float(r[1]) for r in fx.select("currency", "units_per_eur").dropna().collect()}
-    per_year = {r[0]: int(r[1]) for r in periods.select("pay_period", "per_year").dropna().collect()}
+    per_eur, per_year = unit_tables(fx, periods)
     pay = read_pay(results, specs, market_ref, fx, periods).persist(StorageLevel.MEMORY_AND_DISK)
     units = ["period_from", "currency_from"]
     segments = _daily(pay.withColumn("v", F.col("high") * F.col("rate")), *units).mapInPandas(

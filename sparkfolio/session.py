@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -33,3 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Most rows of a table that is said to be small and goes to every worker.
+SMALL = 100_000
+
+
+def small_rows(df: DataFrame, what: str, most: int = SMALL) -> list[Row]:
+    """The distinct rows of a small table; an error, not a cut, if there are more than `most`."""
+    rows = df.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return rows
