@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_rows
+
 # Short forms and synonyms of words in titles, accents folded.
 WORD_FORMS = {
     "engineer": "eng engr ing", "developer": "dev develop programmer", "analyst": "anlst anl analytic", "scientist": "sci scient",
@@ -184,10 +186,7 @@ MOST_ENTRIES = 100_000
 
 def _listed(roles: DataFrame) -> list[tuple]:
     rows = roles.select("role_id", "canonical_role", "seniority_band", "is_management", "title_cs").dropna(subset=["role_id", "canonical_role"]).distinct()
-    listed = [tuple(r) for r in rows.orderBy("role_id", "canonical_role").limit(MOST_ENTRIES + 1).collect()]
-    if len(listed) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    return listed
+    return sorted((tuple(r) for r in small_rows(rows, "the reference list", MOST_ENTRIES)), key=lambda r: (r[0], *map(str, r[1:])))
 
 
 def match_roles(detected: DataFrame, roles: DataFrame) -> DataFrame:

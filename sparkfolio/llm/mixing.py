@@ -15,6 +15,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_rows
 from .packing import TOKENIZER_FILE, _cut, token_counts
 
 CELLS = 256  # hash cells per size class; size classes are eighths of a power of two
@@ -26,8 +27,9 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | None = No
     Without `total_tokens` the total is the largest at which every such source reaches its share within its
     cap; with it, sources whose cap binds give what they can.
     """
+    wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share"), F.max("max_repeats"))
+    want = {r[0]: (float(r[1]), int(r[2])) for r in small_rows(wanted, "the table of targets", 1000)}
     have = {r[0]: r[1] for r in counts.where("source is not null and tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source").groupBy("source").agg(F.sum("tokens")).collect()}
-    want = {r[0]: (float(r[1]), int(r[2])) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).collect()}
     live = {s: (share, cap, have[s]) for s, (share, cap) in want.items() if have.get(s)}
     if not live:
         return {}

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_rows
+
 TOKENIZER_FILE = os.environ.get("SPARKFOLIO_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_DOCS = 4000
@@ -30,6 +32,8 @@ SHARD_DOCS = 4000
 TABLES, REPACK_BELOW = 64, 0.97
 #: Fillings tried by branch-and-bound for one shard and capacity before the incumbent stands (the report shows how far it is from the bound).
 NODES = 3000
+#: Most kinds of containers; every shard packs each of them.
+MOST_KINDS = 1000
 
 _ENCODERS: dict = {}
 
@@ -356,7 +360,7 @@ def pack_documents(documents: DataFrame, limits: DataFrame, path: str = TOKENIZE
     `part` numbers the pieces of a document above the capacity; other documents are whole (part 0).  Null and
     empty documents need no room and don't appear.  `limits` is a small fixed table (3 rows).
     """
-    kinds = [(r[0], int(r[1])) for r in limits.where("container_kind is not null and capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind", "capacity_tokens").collect()]
+    kinds = sorted((r[0], int(r[1])) for r in small_rows(limits.where("container_kind is not null and capacity_tokens > 0").select("container_kind", "capacity_tokens"), "the table of containers", MOST_KINDS))
     counts = token_counts(documents, path).where("tokens > 0")
     # As many shards as keep about SHARD_DOCS documents in one; the count is read from the table's own metadata.
     shards = max(1, -(-documents.count() // SHARD_DOCS))
