@@ -44,10 +44,15 @@ def mark(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_SHUT}")
 
 
-def mark_within(text: Column, envelope: str, part: str) -> Column:
-    """Mark every `part` inside every match of `envelope`, the envelopes found left to right without overlap."""
-    held = F.regexp_replace(text, f"({envelope})", f"{_A}$1{_B}")
-    return F.regexp_replace(F.regexp_replace(held, rf"\b({part})\b(?=[^{_A}{_B}]*{_B})", f"{_OPEN}$1{_SHUT}"), f"[{_A}{_B}]", "")
+def hold(text: Column, envelope: str) -> Column:
+    """Sentinels around every match of `envelope`, found left to right without overlap."""
+    return F.regexp_replace(text, f"({envelope})", f"{_A}$1{_B}")
+
+
+def mark_held(held: Column, part: str) -> Column:
+    """Mark every `part` inside the envelopes; a text without one stays as it is."""
+    inside = F.regexp_replace(F.regexp_replace(held, rf"\b({part})\b(?=[^{_A}{_B}]*{_B})", f"{_OPEN}$1{_SHUT}"), f"[{_A}{_B}]", "")
+    return F.when(F.contains(held, F.lit(_A)), inside).otherwise(held)
 
 
 def mark_address(text: Column) -> Column:
@@ -86,16 +91,21 @@ def _passes(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col("_t")
     named = F.concat(F.lit(r"(?U)(?<!\w)(\Q"), F.col("_header"), F.lit(r"\E)(?!\w)"))
     marks = {
-        "url": mark(t, URL), "email": mark(t, EMAIL), "phone": mark(t, PHONE), "address": mark_address(t), "postcode": mark_within(t, POSTCODE_ENVELOPE, r"\d{3} ?\d{2}"),
-        "year": mark_within(t, YEAR_ENVELOPE, YEAR), "name": F.when(F.col("_header").isNotNull(), F.regexp_replace(t, named, F.lit(f"{_OPEN}$1{_SHUT}"))).otherwise(t),
+        "url": mark(t, URL), "email": mark(t, EMAIL), "phone": mark(t, PHONE), "address": mark_address(t), "postcode": mark_held(F.col("_held"), r"\d{3} ?\d{2}"),
+        "year": mark_held(F.col("_held"), YEAR), "name": F.when(F.col("_header").isNotNull(), F.regexp_replace(t, named, F.lit(f"{_OPEN}$1{_SHUT}"))).otherwise(t),
         "name_label": F.regexp_replace(t, NAME_LABEL, f"$1{_OPEN}$2{_SHUT}"),
     }
     steps = df.select(key, F.col(text).alias("_t"))
+    envelopes = {"postcode": POSTCODE_ENVELOPE, "year": YEAR_ENVELOPE}
     for name, _, placeholder in PASSES:
+        if name in envelopes:
+            steps = steps.withColumn("_held", hold(t, envelopes[name]))
         if name == "name":
             steps = steps.withColumn("_header", header_name(t))
-        steps = steps.withColumn(f"_{name}", marks[name]).withColumn("_t", F.regexp_replace(f"_{name}", _TAKEN, placeholder))
-    return steps.drop("_header")
+        # Most passes take nothing out of most texts.
+        marked = F.col(f"_{name}")
+        steps = steps.withColumn(f"_{name}", marks[name]).withColumn("_t", F.when(F.contains(marked, F.lit(_OPEN)), F.regexp_replace(marked, _TAKEN, placeholder)).otherwise(marked))
+    return steps.drop("_header", "_held")
 
 
 def _count(marked: Column) -> Column:
